@@ -148,7 +148,7 @@ def _search(shared, rerank: int, neighbours: int):
     return search
 
 
-def nearest_neighbours(table: DataFrame, queries: DataFrame | None = None, *, every: int = 50, neighbours: int = 5, cells: int = 128, parts: int = 16, sample_rows: int = 16_384, aim: float = 0.98, rerank: int = 48, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(table: DataFrame, queries: DataFrame | None = None, *, every: int = 50, neighbours: int = 5, cells: int = 128, parts: int = 16, sample_rows: int = 16_384, aim: float = 0.98, rerank: int = 192, block: int = 2048, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's nearest rows by cosine. Queries default to ids divisible by ``every``."""
     spark = table.sparkSession
     vectors = written(packed_vectors(table, id_col, vector_col).where("x is not null"), "vectors")

@@ -50,9 +50,8 @@ def targets(sizes: DataFrame, budget_ratio: float, cap: float, weights: tuple[fl
     return ranked.select("source", "source_size", F.least(F.col("top"), F.coalesce(level * F.col("w"), F.col("top"))).alias("target"))
 
 
-def mix_to_weights(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
-    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("h")), "sizes")
+def _thresholds(rows: DataFrame, budget_ratio: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
+    """rows (source, size, h) to one row per source: its target, whole passes, and the hash where its budget ends."""
     state = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), budget_ratio, cap, weights)
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     state = state.withColumn("passes", passes).withColumn("need", F.floor(F.col("target")).cast("long") - F.col("passes") * F.col("source_size"))
@@ -65,10 +64,29 @@ def mix_to_weights(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2
         state = level
         if state.where("first_h < last_h").isEmpty():
             break
-    chosen = state.select(F.col("source").alias("s"), "source_size", "target", "passes", "need", "first_h", "last_words")
+    return state
+
+
+def _taken(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """rows (source, size, h, ...) with source_size, target and taken."""
+    chosen = state.select(F.col("source").alias("_s"), "source_size", "target", "passes", "need", "first_h", "last_words")
     part = F.when(F.col("h") < F.col("first_h"), F.col("size")).when((F.col("h") == F.col("first_h")) & (F.col("last_words") > 0), F.floor(F.col("size") * F.col("need") / F.col("last_words"))).otherwise(0).cast("long")
-    out = rows.join(chosen, F.col("source").eqNullSafe(F.col("s")))
-    return out.select("doc_id", "size", "source_size", "target", (F.col("passes") * F.col("size") + part).alias("taken"))
+    return rows.join(chosen, F.col("source").eqNullSafe(F.col("_s"))).withColumn("taken", F.col("passes") * F.col("size") + part)
+
+
+def mix_to_weights(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """doc_id, size, source_size, target (of its source), taken (words, repeats counted)."""
+    rows = written(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("h")), "sizes")
+    return _taken(rows, _thresholds(rows, budget_ratio, cap, weights)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed_documents(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The documents as the mix reads them: each as often as it is taken (the last one of a budget if at least half of
+    it is; texts without words once). Texts are not shuffled: only the row per source travels."""
+    sized = docs.select(F.struct(*docs.columns).alias("_row"), words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("h"), F.col(source_col).alias("source"))
+    state = _thresholds(written(sized.select("source", "size", "h"), "sizes"), budget_ratio, cap, weights)
+    copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
+    return _taken(sized, state).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")
 
 
 def _refined(rows: DataFrame, state: DataFrame, wider: int, shift: int) -> DataFrame:
