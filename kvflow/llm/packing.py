@@ -14,6 +14,9 @@ are packed each on their own; an empty table gives no rows.
 
 from __future__ import annotations
 
+import os
+import re
+import sys
 import zlib
 from collections.abc import Iterator
 
@@ -25,39 +28,108 @@ from pyspark.sql import functions as F
 from ._words import chunks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-#: Words kept in a worker's cache, and the longest word (bytes) that is kept.
-CACHE_WORDS, CACHE_BYTES = 300_000, 48
+#: Words of one generation of a worker's cache (two are kept), and the longest word (bytes) that is kept.
+CACHE_WORDS, CACHE_BYTES = 250_000, 48
+#: Words that are one pre-token and their own normal form once lower-cased; marks that are a pre-token of their own.
+LETTERS = re.compile("[a-zà-öø-ÿ]+")
+MARKS = b".,"
+PROBES = ["the", "schüß", "ñandú", "était", "x", "straße", "überträgt", ".", ",", ".,", ",."]
+
+
+def byte_letters() -> list[str]:
+    """The printable stand-in of each byte in byte-level vocabularies: itself if visible, else from 256 on in order."""
+    visible = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
 
 
 class WordIds:
-    """Little-endian ids of white-space separated words."""
+    """Little-endian ids of white-space separated words, cached in two generations.
 
-    def __init__(self, tokenizer_json: str):
-        import os
+    Most words are letters and a closing mark. Where the tokeniser's model, asked directly for the letters, gives the
+    ids of the whole tokeniser on probe words, such words skip the normaliser and the pre-tokeniser.
+    """
 
+    def __init__(self, tokenizer_json: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_str(tokenizer_json).encode_batch_fast
+        tokenizer = Tokenizer.from_str(tokenizer_json)
+        self.encode, self.tokenize = tokenizer.encode_batch_fast, tokenizer.model.tokenize
+        self.letters = dict(enumerate(byte_letters()))
         self.known: dict[bytes, bytes] = {}
-
-    def of(self, documents: list[list[bytes]]) -> list[bytes]:
-        known = self.known
-        missing = list(set().union(*documents).difference(known))
-        if len(known) + len(missing) > CACHE_WORDS:
-            known.clear()
-            missing = list(set().union(*documents))
-        for lo in range(0, len(missing), 10_000):
-            part = missing[lo : lo + 10_000]
-            for word, e in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[word] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join(map(known.__getitem__, words)) for words in documents]
+        self.older: dict[bytes, bytes] = {}
+        self.stems: dict[bytes, bytes] = {}
+        whole = [e.ids for e in self.encode(PROBES, add_special_tokens=False)]
+        upper = [e.ids for e in self.encode(["The", "ABC"], add_special_tokens=False)]
+        lower = [e.ids for e in self.encode(["the", "abc"], add_special_tokens=False)]
+        self.lower_case = upper == lower
+        try:
+            direct = [[t.id for t in self.tokenize(self._spelled(w.encode()))] for w in PROBES]
+        except Exception:  # a model of another kind than byte-level pieces may refuse such strings
+            direct = []
+        self.fast = self.lower_case and direct == whole
+
+    def _spelled(self, word: bytes) -> str:
+        return word.decode("latin-1").translate(self.letters)
+
+    def _stem(self, word: bytes) -> bytes | None:
+        """Ids of a word of letters, or None if it has other marks."""
+        got = self.stems.get(word)
+        if got is None:
+            text = word.decode("utf-8", "replace").lower()
+            if not LETTERS.fullmatch(text):
+                return None
+            got = np.array([t.id for t in self.tokenize(self._spelled(text.encode()))], "<u4").tobytes()
+            if len(word) <= CACHE_BYTES:
+                if len(self.stems) >= CACHE_WORDS:
+                    self.stems.clear()
+                self.stems[word] = got
+        return got
+
+    def _new(self, missing: list[bytes]) -> None:
+        known, rest = self.known, []
+        for w in missing:
+            if (got := self.older.get(w)) is None and self.fast:
+                bare = w.rstrip(MARKS)
+                got = self._stem(bare) if bare else None
+                if got is not None and len(bare) < len(w):
+                    mark = w[len(bare) :]
+                    if mark not in self.stems:
+                        self.stems[mark] = np.array(self.encode([mark.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+                    got += self.stems[mark]
+            if got is None:
+                rest.append(w)
+            else:
+                known[w] = got
+        for lo in range(0, len(rest), 10_000):
+            part = rest[lo : lo + 10_000]
+            for w, e in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
+                known[w] = np.array(e.ids, "<u4").tobytes()
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        # names of special tokens are told apart by case, all else is lower-cased by the tokeniser anyway
+        documents = [(t.lower() if self.lower_case and b"<|" not in t else t).split() for t in texts]
+        missing = list(set().union(*documents).difference(self.known))
+        self._new(missing)
+        out = [b"".join(map(self.known.__getitem__, words)) for words in documents]
         for w in missing:
             if len(w) > CACHE_BYTES:
-                del known[w]
+                del self.known[w]
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.older = {}, self.known
         return out
 
 
+def worker_ids(tokenizer_json: str) -> WordIds:
+    """One cache per Python worker and tokeniser, kept from task to task."""
+    held = vars(sys).setdefault("_kvflow_word_ids", {})
+    key = zlib.crc32(tokenizer_json.encode())
+    if key not in held:
+        held[key] = WordIds(tokenizer_json)
+    return held[key]
+
+
 def pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
     """(start, length) of the power-of-two pieces of n tokens, longest first."""
     start = 0
@@ -72,12 +144,12 @@ def pieces(n: int, longest: int) -> Iterator[tuple[int, int]]:
 
 def _packer(tokenizer, longest: int, end_id: int, with_ids: bool):
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = WordIds(tokenizer.value)
+        ids_of = worker_ids(tokenizer.value)
         end = np.array([end_id], "<u4").tobytes()
         for whole in batches:
             for b in chunks(whole, "bytes"):
                 row, start, length, crc, total, kept = [], [], [], [], [], []
-                for i, ids in enumerate(ids_of.of([(t or b"").split() for t in b.column("bytes").to_pylist()])):
+                for i, ids in enumerate(ids_of.of([t or b"" for t in b.column("bytes").to_pylist()])):
                     ids += end
                     n = len(ids) // 4
                     for s, k in pieces(n, longest):
