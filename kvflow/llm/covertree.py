@@ -16,6 +16,7 @@ their own); vectors of different length never link; repeated rows link as copies
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -137,11 +138,17 @@ def dual_traversal(ta: CoverTree, tb: CoverTree, xa: np.ndarray, xb: np.ndarray,
         A, B = la[k], lb[k]
         if k == 0:  # all pairs of the top nets, by blocks of a matrix product
             found = []
-            cb0, rb = fb[B[0]], B[1].astype(np.float32)
+            centres = fb[B[0]].T.copy()
+            least = lambda r: np.float32(1) - (np.float32(t + SLACK) + r.astype(np.float32)) ** 2 / 2  # noqa: E731  the cosine of a chord
+            wide_b = np.flatnonzero(B[1])
             for lo in range(0, len(A[0]), 256):
-                d2 = np.float32(2) - np.float32(2) * (fa[A[0][lo : lo + 256]] @ cb0.T)
-                bound = np.float32(t + SLACK) + A[1][lo : lo + 256, None].astype(np.float32) + rb[None, :]
-                found.append(np.stack(np.nonzero(d2 <= bound * bound)) + [[lo], [0]])
+                dot = fa[A[0][lo : lo + 256]] @ centres
+                near = dot >= least(np.zeros(1))
+                ra = A[1][lo : lo + 256]
+                wide_a = np.flatnonzero(ra)
+                near[wide_a] |= dot[wide_a] >= least(ra[wide_a, None] + B[1][None, :])
+                near[:, wide_b] |= dot[:, wide_b] >= least(ra[:, None] + B[1][None, wide_b])
+                found.append(np.stack(np.nonzero(near)) + [[lo], [0]])
             i, j = np.concatenate(found, 1) if found else (i, j)
             if same:
                 i, j = i[i <= j], j[i <= j]
@@ -218,8 +225,11 @@ def _meet(shared, cells: dict[str, tuple[float, int]], cosine: float):
 
     def emit(cell, block, rep, n, far, xs):
         me = (number[cell], block)
-        packed = np.asarray(rep, "<i8").tobytes() + np.asarray(n, "<i8").tobytes() + b"".join(xs)
-        for other, k in partners(cell, np.array(far), unit(matrix(xs))):
+        x = matrix(xs)
+        tree = CoverTree(unit(x))
+        o = tree.order
+        packed = pickle.dumps((np.array(rep)[o], np.array(n)[o], x[o], tree.levels), protocol=5)
+        for other, k in partners(cell, np.array(far), tree.u):
             you = (number[other], k)
             lo, hi = min(me, you), max(me, you)
             yield (f"{lo[0]}.{lo[1]}-{hi[0]}.{hi[1]}", int(me == hi), len(rep), packed)
@@ -246,27 +256,26 @@ def _meet(shared, cells: dict[str, tuple[float, int]], cosine: float):
 
 def _link(cosine: float):
     def unpack(row):
-        n = row["rows"]
-        data = row["packed"]
-        return np.frombuffer(data, "<i8", n), np.frombuffer(data, "<i8", n, 8 * n), np.frombuffer(data, "<f8", offset=16 * n).reshape(n, -1)
+        ids, n, x, levels = pickle.loads(row["packed"])
+        tree = CoverTree.__new__(CoverTree)  # built where the block was made
+        tree.levels, tree.u = levels, unit(x)
+        return ids, n, x, tree
 
     def work(rows: list[dict]) -> pa.RecordBatch:
         rows = sorted(rows, key=lambda r: r["side"])
-        (ia, wa, xa), (ib, wb, xb) = unpack(rows[0]), unpack(rows[-1])
+        ia, wa, xa, ta = unpack(rows[0])
+        ib, wb, xb, tb = unpack(rows[1]) if len(rows) == 2 else (ia, wa, xa, ta)
         a, b, kind = [], [], []
         if len(rows) == 2 or rows[0]["pair"].split("-")[0] == rows[0]["pair"].split("-")[1]:
-            ta = CoverTree(unit(xa))
-            tb = ta if len(rows) == 1 else CoverTree(unit(xb))
-            oa, ob = ta.order, tb.order
-            na, nb, ea, eb = dual_traversal(ta, tb, xa[oa], xb[ob], wa[oa], wb[ob], cosine)
+            na, nb, ea, eb = dual_traversal(ta, tb, xa, xb, wa, wb, cosine)
             if tb is ta:
                 na, nb = na + nb, nb[:0]
-            for ids, n in ((ia[oa], na), (ib[ob][: len(nb)], nb)):
+            for ids, n in ((ia, na), (ib[: len(nb)], nb)):
                 at = np.flatnonzero(n)
                 a += ids[at].tolist()
                 b += n[at].tolist()
             kind = [0] * len(a)
-            tree = forest(zip(ia[oa][ea].tolist(), ib[ob][eb].tolist()))
+            tree = forest(zip(ia[ea].tolist(), ib[eb].tolist()))
             a += [u for u, _ in tree]
             b += [v for _, v in tree]
             kind += [1] * len(tree)
