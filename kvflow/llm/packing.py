@@ -29,7 +29,7 @@ from ._words import chunks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words of one generation of a worker's cache (two are kept), and the longest word (bytes) that is kept.
-CACHE_WORDS, CACHE_BYTES = 250_000, 48
+CACHE_WORDS, CACHE_BYTES = 350_000, 48
 #: Words that are one pre-token and their own normal form once lower-cased; marks that are a pre-token of their own.
 LETTERS = re.compile("[a-zà-öø-ÿ]+")
 MARKS = b".,"
@@ -57,8 +57,7 @@ class WordIds:
         tokenizer = Tokenizer.from_str(tokenizer_json)
         self.encode, self.tokenize = tokenizer.encode_batch_fast, tokenizer.model.tokenize
         self.letters = dict(enumerate(byte_letters()))
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
+        self.known, self.older = Known(self), {}
         self.stems: dict[bytes, bytes] = {}
         whole = [e.ids for e in self.encode(PROBES, add_special_tokens=False)]
         upper = [e.ids for e in self.encode(["The", "ABC"], add_special_tokens=False)]
@@ -87,40 +86,44 @@ class WordIds:
                 self.stems[word] = got
         return got
 
-    def _new(self, missing: list[bytes]) -> None:
-        known, rest = self.known, []
-        for w in missing:
-            if (got := self.older.get(w)) is None and self.fast:
-                bare = w.rstrip(MARKS)
-                got = self._stem(bare) if bare else None
-                if got is not None and len(bare) < len(w):
-                    mark = w[len(bare) :]
-                    if mark not in self.stems:
-                        self.stems[mark] = np.array(self.encode([mark.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
-                    got += self.stems[mark]
-            if got is None:
-                rest.append(w)
-            else:
-                known[w] = got
-        for lo in range(0, len(rest), 10_000):
-            part = rest[lo : lo + 10_000]
-            for w, e in zip(part, self.encode([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-
-    def of(self, texts: list[bytes]) -> list[bytes]:
+    def new(self, w: bytes) -> bytes:
+        got = self.older.get(w)
+        if got is None and self.fast:
+            bare = w.rstrip(MARKS)
+            got = self._stem(bare) if bare else None
+            if got is not None and len(bare) < len(w):
+                mark = w[len(bare) :]
+                if mark not in self.stems:
+                    self.stems[mark] = self._whole(mark)
+                got += self.stems[mark]
+        return self._whole(w) if got is None else got
+
+    def _whole(self, w: bytes) -> bytes:
+        return np.array(self.encode([w.decode("utf-8", "replace")], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def of(self, text: bytes) -> bytes:
         # names of special tokens are told apart by case, all else is lower-cased by the tokeniser anyway
-        documents = [(t.lower() if self.lower_case and b"<|" not in t else t).split() for t in texts]
-        missing = list(set().union(*documents).difference(self.known))
-        self._new(missing)
-        out = [b"".join(map(self.known.__getitem__, words)) for words in documents]
-        for w in missing:
-            if len(w) > CACHE_BYTES:
-                del self.known[w]
+        words = (text.lower() if self.lower_case and b"<|" not in text else text).split()
+        out = b"".join(map(self.known.__getitem__, words))
         if len(self.known) > CACHE_WORDS:
-            self.known, self.older = {}, self.known
+            self.older, self.known = self.known, Known(self)
         return out
 
 
+class Known(dict):
+    """Ids by word; a new word is worked out once and kept unless it is long."""
+
+    def __init__(self, ids: WordIds):
+        super().__init__()
+        self.new = ids.new
+
+    def __missing__(self, w: bytes) -> bytes:
+        got = self.new(w)
+        if len(w) <= CACHE_BYTES:
+            self[w] = got
+        return got
+
+
 def worker_ids(tokenizer_json: str) -> WordIds:
     """One cache per Python worker and tokeniser, kept from task to task."""
     held = vars(sys).setdefault("_kvflow_word_ids", {})
@@ -149,7 +152,7 @@ def _packer(tokenizer, longest: int, end_id: int, with_ids: bool):
         for whole in batches:
             for b in chunks(whole, "bytes"):
                 row, start, length, crc, total, kept = [], [], [], [], [], []
-                for i, ids in enumerate(ids_of.of([t or b"" for t in b.column("bytes").to_pylist()])):
+                for i, ids in enumerate(ids_of.of(t or b"") for t in b.column("bytes").to_pylist()):
                     ids += end
                     n = len(ids) // 4
                     for s, k in pieces(n, longest):
