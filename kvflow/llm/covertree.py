@@ -85,6 +85,14 @@ class CoverTree:
         return starts, radius, starts, ends
 
 
+def _from(levels: list, t: float) -> list:
+    """The levels to traverse: a coarse net that gathers hardly any points cannot prune, and only widens the bounds."""
+    s, reach = 0, 1.0
+    while s < len(levels) - 2 and reach > t and len(levels[s + 1][0]) <= 1.25 * len(levels[s][0]):
+        s, reach = s + 1, reach / 2
+    return levels[s:]
+
+
 def _children(level, below) -> tuple[np.ndarray, np.ndarray]:
     """For each node: the range of nodes below it."""
     return np.searchsorted(below[2], level[2]), np.searchsorted(below[2], level[3])
@@ -108,9 +116,10 @@ def dual_traversal(ta: CoverTree, tb: CoverTree, xa: np.ndarray, xb: np.ndarray,
     da, db = np.zeros(len(wa) + 1, np.int64), np.zeros(len(wb) + 1, np.int64)
     links_a: list[np.ndarray] = []
     links_b: list[np.ndarray] = []
-    depth = max(len(ta.levels), len(tb.levels))
-    la = ta.levels + [ta.levels[-1]] * (depth - len(ta.levels))
-    lb = tb.levels + [tb.levels[-1]] * (depth - len(tb.levels))
+    la, lb = _from(ta.levels, t), _from(tb.levels, t)
+    depth = max(len(la), len(lb))
+    la = la + [la[-1]] * (depth - len(la))
+    lb = lb + [lb[-1]] * (depth - len(lb))
     whole_a, whole_b = np.zeros(len(wa), bool), np.zeros(len(wb), bool)
 
     def take(level_a, level_b, i, j):
