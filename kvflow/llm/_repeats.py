@@ -11,8 +11,8 @@ Data flow (nothing here grows with the corpus on one node):
 2. a grouped aggregate keeps each distinct context once, with its smallest document, as representative;
 3. words of representatives only are cut from their texts (a join by document);
 4. contexts are dealt by anchor to tasks, which fill bounded *shards* and run an engine on each; an anchor with more
-   than ``crowded`` contexts (a common phrase in ever new surroundings) is dealt window by window instead, so no
-   group of unbounded size meets in one task;
+   than ``crowded`` contexts (a common phrase in ever new surroundings) is dealt window by window instead, equal
+   windows merged first, so no group of unbounded size meets in one task;
 5. the engine says for each context which windows stand in which smallest document; joined back to all occurrences,
    windows whose smallest document is smaller than their own are removed.
 """
@@ -175,10 +175,23 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     # a context is a pair of an anchor and its words; anchors that stand in one document only are left out
     distinct = written(distinct, "contexts")
     groups = distinct.groupBy("a").agg(F.count("*").alias("k"), F.min("m").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("a", F.expr(f"k > {int(crowded)}").alias("hot"))
-    reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
-    reps = reps.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
-    cut = rows.join(reps, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT)
-    found = cut.repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_sharded(engine, window, shard_words), "a long, c long, b int, e int, least long")
+    reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), "hot", F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
+
+    def cut(some: DataFrame) -> DataFrame:
+        lists = some.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
+        return rows.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT)
+
+    def matched(contexts: DataFrame) -> DataFrame:
+        return contexts.repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_sharded(engine, window, shard_words), "a long, c long, b int, e int, least long")
+
+    found = matched(cut(reps.where("not hot")))
+    if not groups.where("hot").isEmpty():
+        # crowded anchors: a window of their contexts is matched once, however many contexts hold it
+        single = written(cut(reps.where("hot")).drop("off", "n"), "crowded")
+        once = single.groupBy("s").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.first("words").alias("words"))
+        once = once.select("s", F.col("s").alias("a"), F.col("s").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("n"), F.lit(0).alias("off"), "m", "top", "words")
+        least = written(matched(once).select(F.col("a").alias("s"), "least"), "crowded-least")
+        found = found.unionByName(single.select("s", "a", "c", "i", "top").join(least, "s").where("least < top").select("a", "c", F.col("i").alias("b"), (F.col("i") + 1).alias("e"), "least"))
     found = written(found, "windows")
     spans = occ.join(found, ["a", "c"]).where("least < doc").select("doc", "th", F.struct((F.col("s0") + F.col("b")).alias("b"), (F.col("s0") + F.col("e") + (window - 1)).alias("e")).alias("span"))
     spans = spans.groupBy("doc", "th").agg(F.collect_set("span").alias("spans"))
