@@ -7,7 +7,8 @@ hold a repeated window, so engines compare contexts of one anchor with each othe
 
 Data flow (nothing here grows with the corpus on one node):
 
-1. one scan emits (anchor, context hash, doc, start, windows) - about 2/(window-k+2) rows a word;
+1. one scan emits (anchor, context hash, doc, start, windows) - about 2/(window-k+2) rows a word - and anchors of one
+   document only are dropped;
 2. a grouped aggregate keeps each distinct context once, with its smallest document, as representative;
 3. words of representatives only are cut from their texts (a join by document);
 4. contexts are dealt by anchor to tasks, which fill bounded *shards* and run an engine on each; an anchor with more
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._store import drop, written
 from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, span_hashes, word_hashes
 
 OCC = "a long, c long, doc long, th long, s0 int, n int, off int"
@@ -170,29 +171,30 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("bytes"))
     scanned = rows.where("doc is not null and octet_length(bytes) >= %d" % (2 * window - 1))
-    occ = written(scanned.mapInArrow(_scan(window, gram), OCC), "anchors")
+    every = written(scanned.mapInArrow(_scan(window, gram), OCC), "anchors")
+    # anchors that stand in one document only go first: all that follows is as large as what repeats
+    repeated = every.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
+    occ = written(every.join(repeated, "a", "left_semi"), "repeated")
+    drop(every)
+    # a context is a pair of an anchor and its words
     distinct = occ.groupBy("a", "c").agg(F.min("doc").alias("m"), F.max("doc").alias("top"), F.min(F.struct("doc", "th", "s0", "n", "off")).alias("rep"))
-    # a context is a pair of an anchor and its words; anchors that stand in one document only are left out
     distinct = written(distinct, "contexts")
-    groups = distinct.groupBy("a").agg(F.count("*").alias("k"), F.min("m").alias("lo"), F.max("top").alias("hi")).where("lo < hi").select("a", F.expr(f"k > {int(crowded)}").alias("hot"))
-    reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), "hot", F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
-
-    def cut(some: DataFrame) -> DataFrame:
-        lists = some.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
-        return rows.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT)
+    groups = distinct.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"k > {int(crowded)}").alias("hot"))
+    reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
+    lists = reps.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
+    cut = written(rows.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT), "passages")
 
     def matched(contexts: DataFrame) -> DataFrame:
         return contexts.repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_sharded(engine, window, shard_words), "a long, c long, b int, e int, least long")
 
-    found = matched(cut(reps.where("not hot")))
-    if not groups.where("hot").isEmpty():
-        # crowded anchors: a window of their contexts is matched once, however many contexts hold it
-        single = written(cut(reps.where("hot")).drop("off", "n"), "crowded")
-        once = single.groupBy("s").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.first("words").alias("words"))
-        once = once.select("s", F.col("s").alias("a"), F.col("s").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("n"), F.lit(0).alias("off"), "m", "top", "words")
-        least = written(matched(once).select(F.col("a").alias("s"), "least"), "crowded-least")
-        found = found.unionByName(single.select("s", "a", "c", "i", "top").join(least, "s").where("least < top").select("a", "c", F.col("i").alias("b"), (F.col("i") + 1).alias("e"), "least"))
-    found = written(found, "windows")
+    # crowded anchors: a window of their contexts is matched once, however many contexts hold it
+    single = cut.where("s <> a")
+    once = single.groupBy("s").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.min("words").alias("words"))
+    once = once.select("s", F.col("s").alias("a"), F.col("s").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("n"), F.lit(0).alias("off"), "m", "top", "words")
+    least = written(matched(once).select(F.col("a").alias("s"), "least"), "crowded")
+    of_windows = single.select("s", "a", "c", "i", "top").join(least, "s").where("least < top").select("a", "c", F.col("i").alias("b"), (F.col("i") + 1).alias("e"), "least")
+    found = written(matched(cut.where("s = a")).unionByName(of_windows), "windows")
+    drop(cut)
     spans = occ.join(found, ["a", "c"]).where("least < doc").select("doc", "th", F.struct((F.col("s0") + F.col("b")).alias("b"), (F.col("s0") + F.col("e") + (window - 1)).alias("e")).alias("span"))
     spans = spans.groupBy("doc", "th").agg(F.collect_set("span").alias("spans"))
     joined = rows.join(spans, ["doc", "th"], "left").select("doc", "bytes", "spans")
