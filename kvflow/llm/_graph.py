@@ -34,7 +34,7 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[int, int]] = []
     for b in batches:
         held += zip(b.column(0).to_pylist(), b.column(1).to_pylist())
-        if len(held) > 1_000_000:
+        if len(held) > 200_000:
             held = forest(held)
     held = forest(held)
     u, v = zip(*held) if held else ((), ())

@@ -29,7 +29,7 @@ from ._words import chunks
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words of one generation of a worker's cache (two are kept), and the longest word (bytes) that is kept.
-CACHE_WORDS, CACHE_BYTES = 350_000, 48
+CACHE_WORDS, CACHE_BYTES = 150_000, 48
 #: Words that are one pre-token and their own normal form once lower-cased; marks that are a pre-token of their own.
 LETTERS = re.compile("[a-zà-öø-ÿ]+")
 MARKS = b".,"

@@ -51,14 +51,22 @@ def terms_of(word: str) -> list[str]:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = (Counter(), Counter())
+    """Partial document counts of terms by class, given out whenever many are held."""
+    counts: dict[str, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(counts, pa.string()), *(pa.array([n[k] for n in counts.values()], pa.int64()) for k in (1, 0))], names=["term", "toxic", "clean"])
+        counts.clear()
+        return out
+
     for b in batches:
-        for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
-            counts[label].update({t for w in set(folded_words(text or "")) for t in terms_of(w)})
-    rows = [(t, n, counts[0].get(t, 0)) for t, n in counts[1].items()] + [(t, 0, n) for t, n in counts[0].items() if t not in counts[1]]
-    for lo in range(0, len(rows), 100_000):
-        t, a, c = zip(*rows[lo : lo + 100_000])
-        yield pa.RecordBatch.from_arrays([pa.array(t, pa.string()), pa.array(a, pa.int64()), pa.array(c, pa.int64())], names=["term", "toxic", "clean"])
+        for i in range(b.num_rows):
+            label = b.column("label")[i].as_py()
+            for t in {t for w in set(folded_words(b.column("text")[i].as_py() or "")) for t in terms_of(w)}:
+                counts.setdefault(t, [0, 0])[label] += 1
+            if len(counts) > 50_000:
+                yield flush()
+    yield flush()
 
 
 def automaton(terms: dict[str, float]):
