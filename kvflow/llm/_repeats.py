@@ -173,13 +173,14 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     scanned = rows.where("doc is not null and octet_length(bytes) >= %d" % (2 * window - 1))
     every = written(scanned.mapInArrow(_scan(window, gram), OCC), "anchors")
     # anchors that stand in one document only go first: all that follows is as large as what repeats
-    repeated = every.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
+    # (written before it is joined: then a hot anchor's rows can be split among tasks)
+    repeated = written(every.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a"), "in-two")
     occ = written(every.join(repeated, "a", "left_semi"), "repeated")
     drop(every)
     # a context is a pair of an anchor and its words
     distinct = occ.groupBy("a", "c").agg(F.min("doc").alias("m"), F.max("doc").alias("top"), F.min(F.struct("doc", "th", "s0", "n", "off")).alias("rep"))
     distinct = written(distinct, "contexts")
-    groups = distinct.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"k > {int(crowded)}").alias("hot"))
+    groups = written(distinct.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"k > {int(crowded)}").alias("hot")), "groups")
     reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
     lists = reps.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
     cut = written(rows.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT), "passages")
