@@ -69,5 +69,33 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in found}
 
 
+REPEATS_SQL = r"""
+with d as (select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents),
+windows as (select doc_id, i, array_to_string(w[i:i + 49], ' ') as s from (select doc_id, w, unnest(range(1, len(w) - 48)) as i from d)),
+firsts as (select s, min(doc_id) as m from windows group by s),
+gone as (select distinct doc_id, i + k as p from (select doc_id, i from windows join firsts using (s) where m < doc_id), (select unnest(range(50)) as k)),
+kept as (select doc_id, string_agg(word, ' ' order by p) as t, count(*) as n from (select doc_id, unnest(w) as word, unnest(range(1, len(w) + 1)) as p from d) anti join gone using (doc_id, p) group by doc_id)
+select d.doc_id, len(w)::bigint as n_words, (len(w) - coalesce(n, 0))::bigint as n_removed, sha256(coalesce(t, '')) as kept_sha256 from d left join kept using (doc_id)"""
+
+MIXING_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size, ('0x' || substr(md5('mix:' || coalesce(doc_id::varchar, 'null')), 1, 15))::bigint as h from documents),
+s as (select source, sum(size)::bigint as source_size from d group by source),
+w as (select *, [5.0::double, 2.0::double, 1.0::double][(row_number() over (order by source nulls last) - 1) % 3 + 1] as w, 2.0::double * source_size as top, 1.5::double * sum(source_size) over () as total from s),
+l as (select *, (total - coalesce(sum(top) over (order by top / w, source nulls last rows between unbounded preceding and 1 preceding), 0)) / sum(w) over (order by top / w, source nulls last rows between current row and unbounded following) as level from w),
+t as (select source, source_size, least(top, coalesce(max(case when level <= top / w then level end) over () * w, top)) as target from l),
+p as (select *, case when source_size > 0 then floor(target / source_size)::bigint else 0 end as passes from t),
+n as (select *, floor(target)::bigint - passes * source_size as need from p),
+g as (select source, h, sum(size) as words from d group by source, h),
+r as (select *, sum(words) over (partition by source order by h) as upto from g),
+e as (select d.doc_id, d.size, n.source_size, n.target, n.passes, n.need, r.words, r.upto from d join n on d.source is not distinct from n.source join r on d.source is not distinct from r.source and d.h = r.h)
+select doc_id, size, source_size, target, (passes * size + case when upto <= need then size when upto - words < need then floor(size * (need - upto + words) / words) else 0 end)::bigint as taken from e"""
+
+LINKS_SQL = """
+with recursive v as (select vec_id, embedding::double[] as e from embeddings), l as (select a.vec_id as a, b.vec_id as b from v a join v b on a.vec_id <> b.vec_id where list_cosine_similarity(a.e, b.e) >= 0.9),
+reach(id, c) as (select vec_id, vec_id from v union select l.b, reach.c from reach join l on l.a = reach.id),
+comp as (select id, min(c) as component_id from reach group by id), n as (select a, count(*) as n from l group by a)
+select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join comp on id = vec_id left join n on a = vec_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_suffix_array_dedup": REPEATS_SQL, "op2_substring_dedup": REPEATS_SQL, "op3_mixing": MIXING_SQL, "op10_embedding_dedup": LINKS_SQL}
