@@ -44,7 +44,7 @@ def _solve(line: str, dims: int, rounds: int, settled: float | None) -> list[tup
     p = x[2 + dims * k : 2 + dims * (k + n)].reshape(-1, dims)
     for _ in range(rounds):
         d = ((p[:, None, :] - c[None, :, :]) ** 2).sum(2)
-        at = d.argmin(1)  # the first of equal ones
+        at = np.where(np.isnan(d), np.inf, d).argmin(1)  # the first of equal ones; an empty cluster attracts nothing
         size = np.bincount(at, minlength=k)
         sums = np.stack([np.bincount(at, weights=p[:, j], minlength=k) for j in range(dims)], 1)
         new = np.where(size[:, None] > 0, sums / np.maximum(size, 1)[:, None], np.nan)

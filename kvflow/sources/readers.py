@@ -119,8 +119,11 @@ def map_closest(df: DataFrame, key_col: str, key, before: bool = False) -> DataF
 
 
 def map_middle(df: DataFrame, key_col: str) -> DataFrame:
-    """mid_key: the middle key."""
-    return df.agg(F.expr(f"percentile_disc(0.5) within group (order by {key_col})").alias("mid_key"))
+    """mid_key: the middle key (the lower one of two)."""
+    from kvflow.operators.partition import global_index
+
+    middle = (df.count() - 1) // 2 + 1
+    return global_index(df.select(F.col(key_col).alias("mid_key")), ["mid_key"]).where(F.col("_i") == middle).select("mid_key")
 
 
 def typed_records(df: DataFrame, text_col: str, schema: str, form: str = "csv") -> DataFrame:
