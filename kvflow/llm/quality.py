@@ -115,12 +115,12 @@ def learn(docs: DataFrame, labels: DataFrame, *, labelled_rows: int = 2500, pool
     got = known.unionByName(pool).mapInArrow(_views, "label int, content array<double>, metadata array<double>")
     got = written(got, "views").toArrow()
     label = np.asarray(got.column("label"), dtype=np.float64)
+    if len(set(label[label >= 0].tolist())) < 2:
+        return None
     both = [np.array(got.column(c).to_pylist(), dtype=np.float64).reshape(len(label), -1) for c in ("content", "metadata")]
     order = np.lexsort((*both[1].T[:3], both[0][:, ENDINGS] if both[0].size else label, label))  # the same whatever the tasks' order
     label, both = label[order], [v[order] for v in both]
     y = label[label >= 0]
-    if len(set(y.tolist())) < 2:
-        return None
     mixed = np.random.default_rng(5).permutation(len(y))
     return co_train([v[label >= 0][mixed] for v in both], y[mixed], [v[label < 0] for v in both], rounds, handed)
 
