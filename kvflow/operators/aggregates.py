@@ -39,10 +39,11 @@ def unique_capped(df: DataFrame, keys: list[str], value: str, cap: int) -> DataF
     return df.groupBy(*keys).agg(F.least(F.countDistinct(value), F.lit(cap + 1)).alias("n_unique"))
 
 
-def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None = None) -> DataFrame:
+def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None = None, kinds: set[str] | None = None) -> DataFrame:
     """(kind, id, result): ``entries`` is an array of :func:`emit`, so each row names the aggregates it feeds.
 
-    Sums and extremes take one partial aggregate; distinct counts and histograms aggregate by value first."""
+    Sums and extremes take one partial aggregate; distinct counts and histograms aggregate by value first, in passes
+    of their own that ``kinds`` (the kinds that can occur) leaves out."""
     rows = df.select(F.explode(entries).alias("e")).select("e.*")
     number = lambda c, t: F.col(c).try_cast(t)
     simple = rows.where(~F.col("kind").isin(UNIQUE_COUNT, HISTOGRAM)).groupBy("kind", "id").agg(
@@ -54,9 +55,13 @@ def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None =
         F.min(F.when(F.col("kind") == STRING_MIN, F.col("value"))).alias("sn"),
     )
     out = simple.select("kind", "id", F.coalesce(*[F.col(c).cast("string") for c in ("ls", "ds", "lx", "ln", "sx", "sn")]).alias("result"))
+    if kinds is not None and not kinds & {UNIQUE_COUNT, HISTOGRAM}:
+        return out
     unique = rows.where(F.col("kind") == UNIQUE_COUNT).select("kind", "id", "value").distinct().groupBy("kind", "id").agg(F.count("value").alias("n"))
     n = F.col("n") if unique_cap is None else F.least(F.col("n"), F.lit(unique_cap + 1))
     out = out.unionByName(unique.select("kind", "id", n.cast("string").alias("result")))
+    if kinds is not None and HISTOGRAM not in kinds:
+        return out
     report = histogram_report(rows.where(F.col("kind") == HISTOGRAM), ["kind", "id"], "value")
     text = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("n_unique", "min", "median", "max", "mean", "sd")])
     return out.unionByName(report.select("kind", "id", text.alias("result")))

@@ -35,7 +35,8 @@ def inverted_index(docs: DataFrame, doc: str, text: str, shards: int | None = No
     keys = ["term"]
     if shards:
         pairs, keys = pairs.withColumn("shard", shard_of(F.col("doc"), shards)), ["shard", "term"]
-    return pairs.groupBy(*keys).agg(F.countDistinct("doc").alias("n_docs"), F.array_join(F.array_sort(F.collect_set(F.col("doc").cast("string"))), ",").alias("docs"))
+    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("doc").cast("string"))).alias("docs"))
+    return listed.select("term", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", ",").alias("docs"), *keys[:-1])
 
 
 def skew_report(stats: DataFrame, load: str, share: float = 0.9) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -21,8 +23,11 @@ def global_index(df: DataFrame, order: list[str], within: list[str] | None = Non
     kind = df.select(key.alias("k")).schema["k"].dataType
     if not steps:
         return df.withColumn("_i", F.row_number().over(W.orderBy(*order)))
-    literal = F.array(*[F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(s, kind.fields)]) for s in steps])
-    ranged = df.withColumn("_p", F.size(F.filter(literal, lambda c: c <= key)))
+    # where the sample's first column tells its keys apart, comparing that one is enough
+    width = 1 if len({s[0] for s in steps}) == len(steps) else len(order)
+    cut = lambda s: [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(s[:width], kind.fields)]
+    above = [(F.struct(*order[:width]) >= F.struct(*cut(s)) if width > 1 else F.coalesce(F.col(order[0]) >= cut(s)[0], F.lit(False))).cast("int") for s in steps if s[0] is not None or width > 1]
+    ranged = df.withColumn("_p", reduce(lambda a, b: a + b, above, F.lit(0)))
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     lifts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_lift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_lift")
     numbered = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))

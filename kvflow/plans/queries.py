@@ -46,7 +46,7 @@ def word_count(spark, d):
 @query(f"select 'LongValueSum' as kind, token as id, count(*)::varchar as result from ({WORDS_SQL}) group by token")
 def aggregate_word_count(spark, d):
     docs = table(spark, d, "documents").select(F.explode(project.tokens(F.col("text"))).alias("token"))
-    return G.dynamic_aggregates(docs, F.array(G.emit(G.LONG_SUM, F.col("token"), F.lit(1))))
+    return G.dynamic_aggregates(docs, F.array(G.emit(G.LONG_SUM, F.col("token"), F.lit(1))), kinds={G.LONG_SUM})
 
 
 @query(r"""with t as (select unnest(case when len(p) = 1 then p else list_slice(p, 1, coalesce(list_max(list_filter(range(1, len(p) + 1), lambda i: p[i] <> '')), 0)) end) as w
@@ -132,7 +132,7 @@ def dynamic_aggregates(spark, d):
         G.emit(G.LONG_SUM, F.concat(F.lit("lines_"), "l_returnflag"), F.lit(1)), G.emit(G.LONG_MAX, "line", F.col("l_linenumber")), G.emit(G.LONG_MIN, "line", F.col("l_linenumber")),
         G.emit(G.STRING_MAX, "status", F.col("l_linestatus")), G.emit(G.STRING_MIN, "status", F.col("l_linestatus")), G.emit(G.UNIQUE_COUNT, F.concat(F.lit("part_"), "l_linestatus"), F.col("l_partkey")),
     )
-    return G.dynamic_aggregates(lines, entries, 150)
+    return G.dynamic_aggregates(lines, entries, 150, {G.LONG_SUM, G.LONG_MAX, G.LONG_MIN, G.STRING_MAX, G.STRING_MIN, G.UNIQUE_COUNT})
 
 
 @query("select 'record_count' as id, count(*)::bigint as n from orders union all select 'nation', count(*) from nation")
