@@ -178,7 +178,7 @@ class ToxicityModel:
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), hits
 
 
-def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, support: int = 4, most_terms: int = 2000, odds: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, support: int = 3, most_terms: int = 2000, odds: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
     rows = labelled_sample(docs, labels, label_col, (clean_rows, toxic_rows), [F.col(text_col).alias("text")], id_col)
     from ._store import drop, written
 
@@ -189,8 +189,9 @@ def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
         return ToxicityModel({}, set(), None)
     counts = rows.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    # a term must speak for at least ``odds`` and occur in clean rows in a hundredth of toxic rows' share at most
-    top = counts.withColumn("w", weight).where((F.col("toxic") >= support) & (F.col("w") >= odds) & (F.col("clean") * n1 <= 0.02 * F.col("toxic") * n0 + n1))
+    # a term must occur in ``support`` toxic rows and in 0.8 % of them, speak for at least ``odds`` and be rare
+    # in clean rows: at most 2 % of its share in toxic ones, one row aside
+    top = counts.withColumn("w", weight).where((F.col("toxic") >= max(support, 0.008 * n1)) & (F.col("w") >= odds) & (F.col("clean") * n1 <= 0.02 * F.col("toxic") * n0 + n1))
     best = top.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(most_terms).collect()
     terms: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
