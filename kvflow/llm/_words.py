@@ -5,6 +5,8 @@ A word is a maximal run of bytes other than 0x20 and 0x09-0x0D, which is exactly
 
 from __future__ import annotations
 
+import ctypes
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +22,13 @@ P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 CHUNK_BYTES = 4 << 20
 
 
+def tidy() -> None:
+    """Give memory that batches have left in a long-lived worker's allocators back to the machine."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``limit`` bytes in ``column`` each; one huge row is a slice of its own."""
     sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -31,6 +40,7 @@ def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iter
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+    tidy()
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._words import chunks
+from ._words import chunks, tidy
 
 #: Cyrillic and Greek letters that look Latin, and digit or symbol substitutions.
 HOMOGLYPHS = dict(zip("авеікмнорстухѕјԁɡαεικνορτυχ", "abeikmhopctyxsjdgaeiknoptux"))
@@ -67,6 +67,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if len(counts) > 50_000:
                 yield flush()
     yield flush()
+    tidy()
 
 
 def automaton(terms: dict[str, float]):
@@ -242,5 +243,6 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
             texts = b.column(text_col)
             ok = [shared.value.score(machine, texts[i].as_py() or "")[0] < threshold for i in range(b.num_rows)]
             yield b.filter(pa.array(ok, pa.bool_()))
+            tidy()
 
     return docs.mapInArrow(passed, docs.schema)
