@@ -100,3 +100,14 @@ def half_digest(data: Column) -> Column:
 
 def distance(xs: list[Column], ys: list[Column]) -> Column:
     return F.sqrt(sum(((a - b) * (a - b) for a, b in zip(xs, ys)), F.lit(0.0)))
+
+
+def char_at(text: Column, position: int) -> Column:
+    """Code point that begins at a 0-based byte position, -1 beyond either end."""
+    rest = F.substring(text.cast("binary"), position + 1, 4)
+    inside = (F.lit(position) >= 0) & (F.lit(position) < F.octet_length(text))
+    return F.when(inside, F.ascii(F.substring(rest.cast("string"), 1, 1))).when(text.isNotNull(), -1)
+
+
+def valid_utf8(data: Column) -> Column:
+    return F.is_valid_utf8(data)

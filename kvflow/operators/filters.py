@@ -15,7 +15,7 @@ def matching_lines(df: DataFrame, text_col: str, pattern: str) -> DataFrame:
 
 def key_matches(key: Column, pattern: str) -> Column:
     """The whole key matches."""
-    return key.rlike(f"^(?:{pattern})$")
+    return key.rlike(rf"\A(?:{pattern})\z")
 
 
 def every_nth(df: DataFrame, order: list[str], frequency: int, within: list[str] | None = None) -> DataFrame:
@@ -33,9 +33,9 @@ def md5_sample(df: DataFrame, key_col: str, frequency: int) -> DataFrame:
 
 
 def bloom_bits(key: Column, bits: int, hashes: int) -> Column:
-    """Bit numbers of a key: double hashing of two 64-bit hashes."""
-    a, b = F.xxhash64(key), F.xxhash64(F.lit("second"), key)
-    return F.array_distinct(F.array(*[F.pmod(a + F.lit(i) * F.shiftright(b, 20), F.lit(bits)) for i in range(hashes)]))
+    """Bit numbers of a key: double hashing of two hashes, shortened so that their sums never overflow."""
+    a, b = F.shiftright(F.xxhash64(key), 2), F.shiftright(F.xxhash64(F.lit("second"), key), 20)
+    return F.array_distinct(F.array(*[F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]))
 
 
 def bloom_filter(keys: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
@@ -53,3 +53,52 @@ def bloom_semi_join(df: DataFrame, key_col: str, keys: DataFrame, other_col: str
     flat = set_bits.select(F.explode("_bits").alias("_bit"))
     kept = hit.join(F.broadcast(flat), "_bit").groupBy("_k", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_k")
     return df.join(kept, F.col(key_col) == F.col("_k"), "left_semi")
+
+
+def counting_filter(keys: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """(bit, n): how many rows (repeats included) set each bit. Filters over the same bits merge by summing."""
+    return keys.where(F.col(key_col).isNotNull()).select(F.explode(bloom_bits(F.col(key_col), bits, hashes)).alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
+
+
+def filter_without(counted: DataFrame, keys: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """A counting filter after its rows ``keys`` are deleted."""
+    gone = counting_filter(keys, key_col, bits, hashes).select("bit", (-F.col("n")).alias("n"))
+    return counted.unionByName(gone).groupBy("bit").agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def approximate_counts(df: DataFrame, key_col: str, counted: DataFrame, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """(key, n): for each distinct key the least counter of its bits, never below its true count, 0 if surely absent."""
+    own = df.select(F.col(key_col).alias("key")).where("key is not null").distinct().withColumn("own", bloom_bits(F.col("key"), bits, hashes))
+    found = own.select("key", F.size("own").alias("need"), F.explode("own").alias("bit")).join(F.broadcast(counted), "bit", "left")  # at most ``bits`` rows
+    least = found.groupBy("key").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    return least.select("key", F.col("n").cast("long").alias("n"))
+
+
+def slice_of(key: Column, slices: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit("slice"), key), F.lit(slices))
+
+
+def dynamic_filter(keys: DataFrame, key_col: str, slices: int, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """(slice, bit): a row of filters that keeps its error rate as keys grow; a key belongs to one slice by its hash."""
+    rows = keys.select(F.col(key_col).alias("k")).where("k is not null")
+    return rows.select(slice_of(F.col("k"), slices).alias("slice"), F.explode(bloom_bits(F.col("k"), bits, hashes)).alias("bit")).distinct()
+
+
+def dynamic_semi_join(df: DataFrame, key_col: str, filters: DataFrame, slices: int, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
+    """Rows whose key may be in a dynamic filter. Its size grows with the keys, so it is joined and not broadcast."""
+    own = df.select(F.col(key_col).alias("_k")).where("_k is not null").distinct().withColumn("_own", bloom_bits(F.col("_k"), bits, hashes))
+    asked = own.select("_k", F.size("_own").alias("_n"), slice_of(F.col("_k"), slices).alias("slice"), F.explode("_own").alias("bit"))
+    kept = asked.join(filters, ["slice", "bit"]).groupBy("_k", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_k")
+    return df.join(kept, F.col(key_col) == F.col("_k"), "left_semi")
+
+
+def retouched_filter(counted: DataFrame, false_positives: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4, scheme: str = "fewest_lost") -> DataFrame:
+    """A filter with one bit cleared for each listed false positive, which may lose true keys in turn. The bit is the
+    one that fewest keys set (``fewest_lost``), that most false positives share (``most_cleared``), the best ``ratio``
+    of both, or any (``random``, by hash)."""
+    asked = false_positives.select(F.col(key_col).alias("k")).where("k is not null").distinct().select("k", F.explode(bloom_bits(F.col("k"), bits, hashes)).alias("bit"))
+    shared = asked.groupBy("bit").agg(F.count("*").alias("wrong"))
+    rated = asked.join(shared, "bit").join(F.broadcast(counted), "bit")
+    rank = {"fewest_lost": F.col("n").cast("double"), "most_cleared": -F.col("wrong").cast("double"), "ratio": F.col("n") / F.col("wrong"), "random": F.xxhash64("k", "bit").cast("double")}[scheme]
+    cleared = rated.groupBy("k").agg(F.min(F.struct(rank.alias("rank"), F.col("bit"))).alias("b")).select("b.bit").distinct()
+    return counted.join(cleared, "bit", "left_anti")

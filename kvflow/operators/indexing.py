@@ -29,12 +29,17 @@ def latest(ops: DataFrame, doc: str, order: str) -> DataFrame:
     return ops.groupBy(doc).agg(F.max(F.struct(order, *rest)).alias("_l")).select(doc, "_l.*")
 
 
-def inverted_index(docs: DataFrame, doc: str, text: str, shards: int | None = None) -> DataFrame:
-    """(term, n_docs, docs[, shard]): distinct documents per term in order of their text form."""
+def inverted_index(docs: DataFrame, doc: str, text: str, shards: int | None = None, segment_docs: int | None = None) -> DataFrame:
+    """(term, n_docs, docs[, shard][, segment]): distinct documents per term in order of their text form.
+
+    With ``segment_docs`` (integer ids) postings are kept by segments of so many consecutive ids, as index segments
+    are: no list outgrows a segment, however common the term."""
     pairs = docs.select(F.col(doc).alias("doc"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("term"))
     keys = ["term"]
+    if segment_docs:
+        pairs, keys = pairs.withColumn("segment", F.floor(F.col("doc") / segment_docs)), ["segment", *keys]
     if shards:
-        pairs, keys = pairs.withColumn("shard", shard_of(F.col("doc"), shards)), ["shard", "term"]
+        pairs, keys = pairs.withColumn("shard", shard_of(F.col("doc"), shards)), ["shard", *keys]
     listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("doc").cast("string"))).alias("docs"))
     return listed.select("term", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", ",").alias("docs"), *keys[:-1])
 

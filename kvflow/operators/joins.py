@@ -110,3 +110,16 @@ def tagged_join(left: DataFrame, right: DataFrame, key: str, combine: Callable[[
         sides = [df.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy(*o))).where(F.col("_n") <= cap).drop("_n") for df, o in zip(sides, order)]
     joined = _packed(sides[0], key, "l").join(_packed(sides[1], key, "r"), "key", "full")
     return joined.select("key", combine(F.col("l"), F.col("r")).alias("value")).where("value is not null")
+
+
+def replicated_join(df: DataFrame, small: DataFrame, key: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
+    """A join with a side that is sent to every task if it has at most ``most_rows`` rows, else a shuffled one."""
+    fits = small.limit(most_rows + 1).count() <= most_rows
+    return df.join(F.broadcast(small) if fits else small.hint("merge"), key, how)
+
+
+def many_join(op: str, key: str, *sources: DataFrame) -> DataFrame:
+    """One operator (inner, outer or override) over any number of sources, as a command line names it."""
+    if op == "override":
+        return override(key, *sources)
+    return {"inner": inner, "outer": outer}[op](key, **{f"s{i}": s for i, s in enumerate(sources)})

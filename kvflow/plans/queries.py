@@ -12,6 +12,8 @@ from kvflow.functions import strings
 from kvflow.operators import aggregates as G
 from kvflow.operators import filters as P
 from kvflow.operators import indexing, joins, keyspec, kmeans, linalg, partition, project, search, sets, sorting
+from kvflow.plans import pipe
+from kvflow.sources import readers
 from kvflow.streaming import events as stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -361,6 +363,11 @@ def _nations(spark, d):
     return table(spark, d, "customer").select(F.col("c_nationkey").alias("k")), table(spark, d, "supplier").select(F.col("s_nationkey").alias("k"))
 
 
+@query(f"select token as term, doc_id // 65536 as segment, count(distinct doc_id)::bigint as n_docs, array_to_string(list_sort(list(distinct doc_id::varchar)), ',') as docs from (select doc_id, {WORDS_SQL[len('select '):]}) group by token, segment")
+def inverted_index_segments(spark, d):
+    return indexing.inverted_index(table(spark, d, "documents"), "doc_id", "text", segment_docs=65_536)
+
+
 @query(f"select token as term, count(distinct doc_id)::bigint as n_docs, array_to_string(list_sort(list(distinct doc_id::varchar)), ',') as docs from (select doc_id, {WORDS_SQL[len('select '):]}) group by token")
 def inverted_index(spark, d):
     return indexing.inverted_index(table(spark, d, "documents"), "doc_id", "text")
@@ -416,6 +423,86 @@ def string_functions(spark, d):
     return c.select("c_custkey", strings.human_readable(F.col("c_custkey")).alias("size"), strings.escape_html(F.col("c_name")).alias("html"), strings.bytes_to_hex(F.col("c_mktsegment").cast("binary")).alias("hex"))
 
 
+@query("select count(*)::bigint as n_keys, 0::bigint as n_below, 0::bigint as n_lost from (select distinct o_custkey from orders)")
+def bloom_counts(spark, d):
+    """A counting filter never counts below the truth, and after deletions loses no key that is left."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderstatus")
+    counted = P.counting_filter(orders, "o_custkey")
+    true = orders.groupBy("o_custkey").agg(F.count("*").alias("n_true"), F.count(F.when(F.col("o_orderstatus") != "P", 1)).alias("n_left"))
+    about = P.approximate_counts(orders, "o_custkey", counted).withColumnRenamed("key", "o_custkey")
+    left = P.approximate_counts(orders, "o_custkey", P.filter_without(counted, orders.where("o_orderstatus = 'P'"), "o_custkey")).select(F.col("key").alias("o_custkey"), F.col("n").alias("n_after"))
+    both = true.join(about, "o_custkey", "left").join(left, "o_custkey", "left")
+    n = lambda c: F.count(F.when(c, 1)).alias
+    return both.agg(F.count("*").alias("n_keys"), n(F.coalesce("n", F.lit(0)) < F.col("n_true"))("n_below"), n(F.coalesce("n_after", F.lit(0)) < F.col("n_left"))("n_lost"))
+
+
+@query("select count(*)::bigint as n from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'F')")
+def dynamic_bloom_membership(spark, d):
+    orders, customers = table(spark, d, "orders").where("o_orderstatus = 'F'"), table(spark, d, "customer")
+    kept = P.dynamic_semi_join(customers, "c_custkey", P.dynamic_filter(orders, "o_custkey", 8), 8)
+    return kept.join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_semi").agg(F.count("*").alias("n"))
+
+
+@query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey >= 100 and o_orderkey < 400")
+def map_range_scan(spark, d):
+    return readers.map_range(table(spark, d, "orders"), "o_orderkey", 100, 400).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@query("select (select max(o_orderkey) from orders where o_orderkey <= 250) as before_key, (select min(o_orderkey) from orders where o_orderkey >= 250) as after_key, (select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) as i, count(*) over () as n from orders) where i = (n - 1) // 2 + 1) as mid_key")
+def map_closest_keys(spark, d):
+    orders = table(spark, d, "orders").select("o_orderkey")
+    before, after = readers.map_closest(orders, "o_orderkey", 250, True), readers.map_closest(orders, "o_orderkey", 250)
+    one = [before.select(F.lit(1).alias("one"), F.col("o_orderkey").alias("before_key")), after.select(F.lit(1).alias("one"), F.col("o_orderkey").alias("after_key")), readers.map_middle(orders, "o_orderkey").select(F.lit(1).alias("one"), "mid_key")]
+    return one[0].join(one[1], "one").join(one[2], "one").drop("one")
+
+
+@query("select unnest(regexp_extract_all(html, '(?s)<p>.*?</p>')) as key, '' as value from pages")
+def marked_records(spark, d):
+    return readers.marked_records(table(spark, d, "pages"), "html", "<p>", "</p>")
+
+
+@query("select kind, id, result from (select 'LongValueSum' as kind, o_orderstatus as id, count(*)::varchar as result from orders group by 2 union all select 'LongValueMax', 'largest', max(o_custkey)::varchar from orders)")
+def text_aggregate_lines(spark, d):
+    orders = table(spark, d, "orders")
+    pair = F.array(F.concat(F.lit("LongValueSum:"), "o_orderstatus", F.lit("\t1")), F.concat(F.lit("LongValueMax:largest\t"), F.col("o_custkey").cast("string")))
+    return G.text_aggregates(orders.select(F.explode(pair).alias("line")), "line")
+
+
+@query("select upper(n_name) as key, n_nationkey::varchar as value from nation")
+def stream_command(spark, d):
+    """Lines through a process of one's own, key and value by tab."""
+    lines = table(spark, d, "nation").select(F.concat_ws("\t", "n_name", F.col("n_nationkey").cast("string")).alias("line"))
+    return pipe.map_command(lines, "line", ["tr", "a-z", "A-Z"])
+
+
+@query("select n_nationkey as number, upper(n_name) as name from nation")
+def typed_csv_records(spark, d):
+    lines = table(spark, d, "nation").select(F.concat_ws(",", F.col("n_nationkey").cast("string"), F.upper("n_name")).alias("line"))
+    return readers.typed_records(lines, "line", "number int, name string")
+
+
+@query("select c_custkey, c_name, n_name from customer join nation on c_nationkey = n_nationkey")
+def replicated_join(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), "n_name")
+    customers = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), "c_custkey", "c_name")
+    return joins.replicated_join(customers, nations, "k").select("c_custkey", "c_name", "n_name")
+
+
+@query("select count(distinct split_part(p_brand, '#', 2))::bigint as n_regions, 0::bigint as n_split from part")
+def key_field_partition(spark, d):
+    """Rows that agree in the key's region share a partition."""
+    dealt = keyspec.partition_by_spec(table(spark, d, "part").select("p_brand"), "p_brand", "-k2,2", 4, "#")
+    placed = dealt.select(F.split_part("p_brand", F.lit("#"), F.lit(2)).alias("region"), F.spark_partition_id().alias("p"))
+    per = placed.groupBy("region").agg(F.min("p").alias("lo"), F.max("p").alias("hi"))
+    return per.agg(F.count("*").alias("n_regions"), F.count(F.when(F.col("lo") < F.col("hi"), 1)).alias("n_split"))
+
+
+@query("select c_custkey, octet_length(c_name::blob)::int as n_bytes, unicode(c_name[3]) as code from customer")
+def text_positions(spark, d):
+    c = table(spark, d, "customer")
+    return c.select("c_custkey", strings.utf8_length(F.col("c_name")).alias("n_bytes"), strings.char_at(F.col("c_name"), 2).alias("code"))
+
+
 @query()
 def sudoku(spark, d):
     board = "5 3 ? ? 7 ? ? ? ?\n6 ? ? 1 9 5 ? ? ?\n? 9 8 ? ? ? ? 6 ?\n8 ? ? ? 6 ? ? ? 3\n4 ? ? 8 ? 3 ? ? 1\n7 ? ? ? 2 ? ? ? 6\n? 6 ? ? ? ? 2 8 ?\n? ? ? 4 1 9 ? ? 5\n? ? ? ? 8 ? ? 7 9"

@@ -112,6 +112,21 @@ def map_get(df: DataFrame, key_col: str, key) -> DataFrame:
     return df.where(F.col(key_col) == F.lit(key))
 
 
+def map_range(df: DataFrame, key_col: str, begin=None, end=None) -> DataFrame:
+    """The rows from ``begin`` on and before ``end``; an open side is None."""
+    if begin is not None:
+        df = df.where(F.col(key_col) >= F.lit(begin))
+    return df if end is None else df.where(F.col(key_col) < F.lit(end))
+
+
+def hashed_map_get(spark: SparkSession, path: str, key_col: str, key, partitions: int) -> DataFrame:
+    """Point lookup in a map of :func:`kvflow.sources.writers.write_hashed_map`: only the key's folder is read."""
+    kept = spark.read.parquet(path)
+    kind = kept.schema[key_col].dataType
+    part = spark.range(1).select(F.pmod(F.xxhash64(F.lit(key).cast(kind)), F.lit(partitions)).cast("int")).first()[0]
+    return kept.where((F.col("part") == part) & (F.col(key_col) == F.lit(key))).drop("part")
+
+
 def map_closest(df: DataFrame, key_col: str, key, before: bool = False) -> DataFrame:
     """The row at the key, or the nearest after it (before it)."""
     side = df.where(F.col(key_col) <= F.lit(key)) if before else df.where(F.col(key_col) >= F.lit(key))

@@ -28,6 +28,12 @@ def write_map(df: DataFrame, path: str, key: str, partitions: int | None = None,
     ranged.sortWithinPartitions(key).write.mode(mode).option(f"parquet.bloom.filter.enabled#{key}", "true").parquet(path)
 
 
+def write_hashed_map(df: DataFrame, path: str, key: str, partitions: int, mode: str = "errorifexists") -> None:
+    """Key/value files in one folder for each hash of the key, sorted within."""
+    dealt = df.withColumn("part", F.pmod(F.xxhash64(key), F.lit(partitions)).cast("int"))
+    dealt.repartition(partitions, "part").sortWithinPartitions("part", key).write.mode(mode).partitionBy("part").parquet(path)
+
+
 def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 

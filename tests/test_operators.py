@@ -212,3 +212,56 @@ def test_counters(spark):
     df, seen = G.counters(spark.range(10), "c", rows=F.count("*"), even=F.count(F.when(F.col("id") % 2 == 0, 1)))
     df.count()
     assert seen.get == {"rows": 10, "even": 5}
+
+
+def test_bloom_filters(spark):
+    keys = spark.createDataFrame([(i % 50,) for i in range(120)] + [(None,)], "k int")
+    counted = filters.counting_filter(keys, "k", 4096)
+    about = {r.key: r.n for r in filters.approximate_counts(spark.range(100).select(F.col("id").cast("int").alias("k")), "k", counted, 4096).collect()}
+    assert all(about[k] >= (3 if k < 20 else 2) for k in range(50)) and sum(about[k] > 0 for k in range(50, 100)) < 5
+    fewer = filters.filter_without(counted, keys.where("k < 25"), "k", 4096)
+    assert all(r.n >= 2 for r in filters.approximate_counts(keys.where("k >= 25"), "k", fewer, 4096).collect())
+    assert filters.approximate_counts(keys.where("k < 25"), "k", fewer, 4096).where("n > 0").count() < 5
+    kept = filters.dynamic_semi_join(spark.range(1000).select(F.col("id").cast("int").alias("k")), "k", filters.dynamic_filter(keys, "k", 4, 4096), 4, 4096)
+    assert {r.k for r in kept.collect()} >= set(range(50)) and kept.count() < 60
+    wrong = spark.createDataFrame([(7,), (9,)], "k int")
+    for scheme in ("fewest_lost", "most_cleared", "ratio", "random"):
+        less = filters.retouched_filter(counted, wrong, "k", 4096, scheme=scheme)
+        assert filters.approximate_counts(wrong, "k", less, 4096).where("n > 0").count() == 0
+    # hashes near the ends of the range of a long must not overflow
+    assert filters.bloom_filter(spark.range(200_000), "id", 64).count() == 64
+
+
+def test_key_match_is_whole(spark):
+    got = lines(spark, "ab", "ab\n", "xab", "abx").where(filters.key_matches(F.col("value"), "ab|zz")).collect()
+    assert [r.value for r in got] == ["ab"]
+
+
+def test_map_lookups(spark, tmp_path):
+    rows = spark.range(100).select(F.col("id").alias("key"), F.col("id").cast("string").alias("value"))
+    writers.write_hashed_map(rows, f"{tmp_path}/hashed", "key", 4)
+    assert readers.hashed_map_get(spark, f"{tmp_path}/hashed", "key", 42, 4).collect() == [(42, "42")]
+    assert readers.hashed_map_get(spark, f"{tmp_path}/hashed", "key", 420, 4).count() == 0
+    assert [readers.map_range(rows, "key", *b).count() for b in ((10, 20), (None, 20), (90, None), (None, None))] == [10, 20, 10, 100]
+
+
+def test_replicated_and_many_joins(spark):
+    a, b = spark.range(10).withColumnRenamed("id", "k"), spark.range(5, 15).withColumnRenamed("id", "k")
+    for most in (100, 3):
+        joined = joins.replicated_join(a, b, "k", most_rows=most)
+        assert {r.k for r in joined.collect()} == set(range(5, 10))
+        assert ("BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()) == (most == 100)
+    v = a.withColumn("v", F.col("k")), b.withColumn("v", -F.col("k"))
+    assert [joins.many_join(op, "k", *v).count() for op in ("inner", "outer", "override")] == [5, 15, 15]
+
+
+def test_text_positions(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert [one(strings.char_at(F.lit("aé𝄞"), i)) for i in (0, 1, 3, 7, -1)] == [97, 233, 0x1D11E, -1, -1]
+    assert one(strings.valid_utf8(F.lit(b"\xc3\xa9"))) and not one(strings.valid_utf8(F.lit(b"\xc3")))
+
+
+def test_index_segments(spark):
+    docs = spark.createDataFrame([(i, "all") for i in range(25)], "id int, text string")
+    got = indexing.inverted_index(docs, "id", "text", segment_docs=10).collect()
+    assert sorted((r.segment, r.n_docs) for r in got) == [(0, 10), (1, 10), (2, 5)]
