@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,25 +44,28 @@ def unique_capped(df: DataFrame, keys: list[str], value: str, cap: int) -> DataF
 def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None = None, kinds: set[str] | None = None) -> DataFrame:
     """(kind, id, result): ``entries`` is an array of :func:`emit`, so each row names the aggregates it feeds.
 
-    Sums and extremes take one partial aggregate; distinct counts and histograms aggregate by value first, in passes
-    of their own that ``kinds`` (the kinds that can occur) leaves out."""
+    Only the kinds that can occur (``kinds``; all if not given) are planned. Numeric ones share a hash aggregate,
+    strings take a sorted one of their own; distinct counts and histograms aggregate by value first. Entries of any
+    other kind are left out."""
     rows = df.select(F.explode(entries).alias("e")).select("e.*")
-    number = lambda c, t: F.col(c).try_cast(t)
-    simple = rows.where(~F.col("kind").isin(UNIQUE_COUNT, HISTOGRAM)).groupBy("kind", "id").agg(
-        F.try_sum(F.when(F.col("kind") == LONG_SUM, number("value", "long"))).alias("ls"),
-        F.sum(F.when(F.col("kind") == DOUBLE_SUM, number("value", "double"))).alias("ds"),
-        F.max(F.when(F.col("kind") == LONG_MAX, number("value", "long"))).alias("lx"),
-        F.min(F.when(F.col("kind") == LONG_MIN, number("value", "long"))).alias("ln"),
-        F.max(F.when(F.col("kind") == STRING_MAX, F.col("value"))).alias("sx"),
-        F.min(F.when(F.col("kind") == STRING_MIN, F.col("value"))).alias("sn"),
-    )
-    out = simple.select("kind", "id", F.coalesce(*[F.col(c).cast("string") for c in ("ls", "ds", "lx", "ln", "sx", "sn")]).alias("result"))
-    if kinds is not None and not kinds & {UNIQUE_COUNT, HISTOGRAM}:
+    used = {LONG_SUM, DOUBLE_SUM, LONG_MAX, LONG_MIN, STRING_MAX, STRING_MIN, UNIQUE_COUNT, HISTOGRAM} if kinds is None else kinds
+    number = lambda kind, t: F.when(F.col("kind") == kind, F.col("value").try_cast(t))
+    text = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
+    numeric = {LONG_SUM: F.try_sum(number(LONG_SUM, "long")), DOUBLE_SUM: F.sum(number(DOUBLE_SUM, "double")), LONG_MAX: F.max(number(LONG_MAX, "long")), LONG_MIN: F.min(number(LONG_MIN, "long"))}
+    strings = {STRING_MAX: F.max(text(STRING_MAX)), STRING_MIN: F.min(text(STRING_MIN))}
+    passes = []
+    for family in (numeric, strings):
+        mine = [k for k in family if k in used]
+        if mine:
+            each = rows.where(F.col("kind").isin(mine)).groupBy("kind", "id").agg(*[family[k].alias(k) for k in mine])
+            passes.append(each.select("kind", "id", F.coalesce(*[F.col(k).cast("string") for k in mine], F.lit(None)).alias("result")))
+    out = reduce(DataFrame.unionByName, passes) if passes else rows.where("false").select("kind", "id", F.col("value").alias("result"))
+    if not used & {UNIQUE_COUNT, HISTOGRAM}:
         return out
     unique = rows.where(F.col("kind") == UNIQUE_COUNT).select("kind", "id", "value").distinct().groupBy("kind", "id").agg(F.count("value").alias("n"))
     n = F.col("n") if unique_cap is None else F.least(F.col("n"), F.lit(unique_cap + 1))
     out = out.unionByName(unique.select("kind", "id", n.cast("string").alias("result")))
-    if kinds is not None and HISTOGRAM not in kinds:
+    if HISTOGRAM not in used:
         return out
     report = histogram_report(rows.where(F.col("kind") == HISTOGRAM), ["kind", "id"], "value")
     text = F.concat_ws("\t", *[F.col(c).cast("string") for c in ("n_unique", "min", "median", "max", "mean", "sd")])

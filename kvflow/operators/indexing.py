@@ -40,7 +40,8 @@ def inverted_index(docs: DataFrame, doc: str, text: str, shards: int | None = No
         pairs, keys = pairs.withColumn("segment", F.floor(F.col("doc") / segment_docs)), ["segment", *keys]
     if shards:
         pairs, keys = pairs.withColumn("shard", shard_of(F.col("doc"), shards)), ["shard", *keys]
-    listed = pairs.groupBy(*keys).agg(F.array_sort(F.collect_set(F.col("doc").cast("string"))).alias("docs"))
+    # a list gains nothing from partial aggregates: shuffled first, it is built once
+    listed = pairs.repartition(*keys).groupBy(*keys).agg(F.array_sort(F.collect_set("doc").cast("array<string>")).alias("docs"))
     return listed.select("term", F.size("docs").cast("long").alias("n_docs"), F.array_join("docs", ",").alias("docs"), *keys[:-1])
 
 
