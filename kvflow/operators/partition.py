@@ -2,36 +2,31 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kvflow.plans.store import written
+
 
-def global_index(df: DataFrame, order: list[str], within: list[str] | None = None, cuts: int = 32, per_part: int = 50_000) -> DataFrame:
+def global_index(df: DataFrame, order: list[str], within: list[str] | None = None, ranges: int | None = None) -> DataFrame:
     """``_i``: 1-based row number in a total order, over all rows or within groups.
 
-    Without groups, at most ``cuts`` keys of a bounded hash sample split the order into ranges; rows are numbered in
-    their range and lifted by the rows of the ranges before (a tiny aggregate), so no task sees more than a range.
+    Without groups, rows are dealt by ranges of the order (as many as the session's shuffle partitions, or ``ranges``),
+    sorted and numbered in their range, and written once, so that counting and lifting by the rows of the ranges before
+    read the same ranges and the input is computed once. No task sees more than a range.
     """
     if within:
         return df.withColumn("_i", F.row_number().over(W.partitionBy(*within).orderBy(*order)))
-    key = F.struct(*[F.col(c) for c in order])
-    sampled = df.select(key.alias("k")).orderBy(F.xxhash64("k")).limit(cuts * 8)
-    steps = [r["k"] for r in sampled.orderBy("k").collect()][7::8]
-    kind = df.select(key.alias("k")).schema["k"].dataType
-    if not steps:
-        return df.withColumn("_i", F.row_number().over(W.orderBy(*order)))
-    # where the sample's first column tells its keys apart, comparing that one is enough
-    width = 1 if len({s[0] for s in steps}) == len(steps) else len(order)
-    cut = lambda s: [F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(s[:width], kind.fields)]
-    above = [(F.struct(*order[:width]) >= F.struct(*cut(s)) if width > 1 else F.coalesce(F.col(order[0]) >= cut(s)[0], F.lit(False))).cast("int") for s in steps if s[0] is not None or width > 1]
-    ranged = df.withColumn("_p", reduce(lambda a, b: a + b, above, F.lit(0)))
+    ranged = df.repartitionByRange(ranges, *order) if ranges else df.repartitionByRange(*order)
+    # the upper bits of the id are the range, the lower 33 the place in it
+    placed = written(ranged.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part = F.shiftright("_at", 33)
     before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
-    lifts = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_lift", F.coalesce(F.sum("_n").over(before), F.lit(0))).select("_p", "_lift")
-    numbered = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
-    return numbered.join(F.broadcast(lifts), "_p").withColumn("_i", F.col("_r") + F.col("_lift")).drop("_p", "_r", "_lift")
+    lifts = placed.groupBy(part.alias("_p")).agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_lift"))
+    lifted = placed.join(F.broadcast(lifts), part == F.col("_p"))  # one row a range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return lifted.withColumn("_i", place + F.col("_lift") + 1).drop("_p", "_at", "_lift")
 
 
 def hash_partition(df: DataFrame, partitions: int, *keys: str) -> DataFrame:

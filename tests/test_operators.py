@@ -91,6 +91,11 @@ def test_samplers(spark):
     assert filters.every_nth(n, ["id"], 100).count() == 10
     assert partition.keep_percent(n, 250, ["id"]).count() == 2500
     assert [r._i for r in partition.global_index(n, ["id"]).orderBy("id").collect()] == list(range(1, 1001))
+    tied = n.select(F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("k"), "id")
+    got = partition.global_index(tied, ["k", "id"], ranges=5).collect()
+    key = lambda r: (r.k is not None, r.k or 0, r.id)  # noqa: E731  nulls first
+    assert [r._i for r in sorted(got, key=key)] == list(range(1, 1001))
+    assert partition.global_index(n.where("id < 0"), ["id"]).count() == 0
     assert partition.split_points([1, 1, 1, 1, 2, 3, 4, 5], 4) == [1, 2, 4]
     assert readers.n_line_splits(n, 10, ["id"]).groupBy("split").count().where("count <> 10").count() == 0
 
