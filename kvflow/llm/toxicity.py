@@ -105,10 +105,19 @@ def features(total: float, hits: int, n_words: int) -> tuple[float, float, float
 
 
 def _matched(terms: dict, exceptions: set, phrases: bool):
-    """Per row of the sample: features and label; or counts of (word before, term) phrases."""
+    """Per row of the sample: features and label; or partial counts of (word before, term) phrases, of every phrase of
+    either class, given out whenever many are held: only their sums over all tasks can be judged."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine, rows, count = automaton(terms), [], (Counter(), Counter())
+
+        def flush() -> pa.RecordBatch:
+            both = [*(count[0] | count[1])]
+            out = pa.RecordBatch.from_arrays([pa.array(both, pa.string()), *(pa.array([count[k][p] for p in both], pa.int64()) for k in (1, 0))], names=["phrase", "toxic", "clean"])
+            count[0].clear()
+            count[1].clear()
+            return out
+
         for b in batches:
             for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist()):
                 words = folded_words(text or "")
@@ -118,13 +127,12 @@ def _matched(terms: dict, exceptions: set, phrases: bool):
                         at = end - n + 1
                         seen.add(flat[flat.rfind(" ", 0, at) + 1 : at] + flat[at : end + 1])
                     count[label].update(p for p in seen if not p.startswith(" "))
+                    if len(count[0]) + len(count[1]) > 50_000:
+                        yield flush()
                 else:
                     rows.append((*features(*matches(machine, words, exceptions), len(words)), float(label)))
         if phrases:
-            both = {*count[0]}
-            rows = [(p, count[1].get(p, 0), count[0][p]) for p in both if count[0][p] > 1]
-            cols = list(zip(*rows)) if rows else [[]] * 3
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["phrase", "toxic", "clean"])
+            yield flush()
         else:
             cols = list(zip(*rows)) if rows else [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in cols], names=["a", "b", "c", "label"])

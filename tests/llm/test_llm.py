@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -353,6 +354,18 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.matches(machine, ["class", "clown", "clown"], {"class clown"}) == (3.0, 1)
 
 
+def test_toxicity_phrases_over_tasks():
+    """Every task gives out all its phrases, so that one clean row on each of many tasks adds up, and so do toxic ones."""
+    total = {}
+    for text, label in [("class clown", 0)] * 3 + [("evil clown", 1)] * 4 + [("evil clown", 0)]:
+        task = iter([pa.RecordBatch.from_pydict({"text": [text], "label": [label]})])
+        for b in toxicity._matched({" clown": 3.0}, set(), True)(task):
+            for p, toxic, clean in zip(*(b.column(c).to_pylist() for c in ("phrase", "toxic", "clean"))):
+                old = total.get(p, (0, 0))
+                total[p] = (old[0] + toxic, old[1] + clean)
+    assert total == {"class clown": (0, 3), "evil clown": (4, 1)}
+
+
 def test_quality(spark, docs, empty):
     train, labels = labelled(spark, docs)
     got = {r.doc_id: r for r in quality.score_quality(train, labels).collect()}
