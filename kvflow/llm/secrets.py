@@ -4,12 +4,12 @@ Every text is matched once per kind of secret; spans follow from the lengths of
 them, so no position function is needed. Base kinds: ``assign`` (a named credential and its value), ``access`` (an
 access key id) and ``hex`` (a long hexadecimal run). The method adds ``live`` spans: key-like strings (at least
 ``min_key`` of key characters with lower case, upper case and digits) that no base span covers. Candidate values are
-hashed and counted over the corpus by distinct documents (repositories) and distinct sources (owners): a value copied
-to more than ``max_owners`` owners or ``max_documents`` documents is a published example, any other is owner-specific
-and looks live. Base spans are reported either way, with their class; a key-like string is only reported if live.
+hashed and counted over the corpus by distinct texts (copies of one text count once) and distinct sources (owners): a
+value of more than ``max_owners`` owners, or of several owners in more than ``max_documents`` texts, is a published
+example, any other is owner-specific and looks live, however often its one owner repeats it. Base spans are reported either way, with their class; a key-like string is only reported if live.
 
-Defined cases: null text is empty; a null id or source counts as one id or source; repeated rows are each reported
-and count as one document; an empty table gives no rows.
+Defined cases: null text is empty; a null source counts as one source; repeated rows are each reported and count as
+one document, as do copies under other ids; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -57,10 +57,11 @@ def _listed(col: str) -> Column:
 def _candidates(docs: DataFrame, min_key: int, id_col: str, text_col: str, source_col: str) -> DataFrame:
     """One narrow row per document: row, doc_id, th (hash of the text), source, found (start, end, kind, value hash)."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    key = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,200}[0-9])(?=[A-Za-z0-9+/_-]{0,200}[A-Z])(?=[A-Za-z0-9+/_-]{0,200}[a-z])[A-Za-z0-9+/_-]{%d,}" % min_key
+    key = r"[A-Za-z0-9+/_-]{%d,}" % min_key  # whole runs; which of them are key-like is told below
     base = F.concat(spans(text, ASSIGN, 0, 2, 12, text.rlike(ASSIGN_HINT)), spans(text, ACCESS, 1, 0, 18, text.contains("AKIA")), spans(text, HEX, 2, 0, 16, text.rlike(HEX)))
     scanned = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("th"), F.col(source_col).alias("source"), base.alias("base"), spans(text, key, 3, 0, min_key, text.rlike(key)).alias("extra"))
-    clear = lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
+    keyed = lambda v: v.rlike("[0-9]") & v.rlike("[A-Z]") & v.rlike("[a-z]")
+    clear = lambda e: keyed(e["value"]) & ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"]))
     hashed = F.transform(F.concat("base", F.filter("extra", clear)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.xxhash64(s["value"]).alias("vh")))
     return written(scanned.select("doc_id", "th", "source", hashed.alias("found")).withColumn("row", F.monotonically_increasing_id()), "candidates")
 
@@ -68,11 +69,12 @@ def _candidates(docs: DataFrame, min_key: int, id_col: str, text_col: str, sourc
 def _findings(rows: DataFrame, max_owners: int, max_documents: int) -> DataFrame:
     """row, doc_id, th, start, end, kind, live: one row per reported span, written."""
     each = rows.where(F.size("found") > 0).select("row", "doc_id", "th", "source", F.explode("found").alias("f"))
-    # one row a value and document, then one a value and owner: every step combines on the map side first
-    per_doc = each.select(F.col("f.vh").alias("vh"), "doc_id", "source").distinct()
-    per_owner = per_doc.groupBy("vh", "source").agg(F.count("*").alias("documents"))
-    owners = per_owner.groupBy("vh").agg(F.sum("documents").alias("documents"), F.count("*").alias("owners"))
-    examples = written(owners.where((F.col("owners") > max_owners) | (F.col("documents") > max_documents)).select("vh"), "examples")
+    # one row a value, text and owner, then one a value and text or a value and owner: every step combines on the map side first
+    seen = each.select(F.col("f.vh").alias("vh"), "th", "source").distinct()
+    texts = seen.select("vh", "th").distinct().groupBy("vh").agg(F.count("*").alias("documents"))
+    owners = seen.select("vh", "source").distinct().groupBy("vh").agg(F.count("*").alias("owners"))
+    widely = (F.col("owners") > max_owners) | ((F.col("owners") > 1) & (F.col("documents") > max_documents))
+    examples = written(owners.join(texts, "vh").where(widely).select("vh"), "examples")
     spread = each.select("row", "doc_id", "th", "f").join(examples.withColumn("example", F.lit(True)), F.col("f.vh") == F.col("vh"), "left")
     return written(spread.select("row", "doc_id", "th", "f.start", "f.end", "f.kind", F.col("example").isNull().alias("live")).where("kind < 3 or live"), "findings")
 

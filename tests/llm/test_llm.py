@@ -193,6 +193,18 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == secrets.redact_secrets(empty).count() == 0
 
 
+def test_secrets_of_few_owners(spark):
+    """One owner's value stays live however often it is repeated, copies of a text count once, and a key may be long."""
+    long = "aB" * 150 + "1"
+    texts = [(f"{i} secret=ownerspecific1", "s1") for i in range(25)] + [("secret=copiedcopied12", f"s{i % 2}") for i in range(30)]
+    texts += [(f"{i} secret=publishedtwice", f"s{i % 2}") for i in range(25)] + [("x " + long + " y", "s1")]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string")
+    got = {r.doc_id: r for r in secrets.scan_secrets(docs).collect()}
+    assert [got[i].n_live for i in range(len(texts))] == [1] * 55 + [0] * 25 + [1] and got[80].spans == "live:2:303"
+    kept = {r.doc_id: r.text for r in secrets.redact_secrets(docs).collect()}
+    assert kept[0] == "0 [SECRET]" and kept[80] == "x [SECRET] y" and kept[60] == texts[60][0]
+
+
 def test_simhash(docs, rows, empty):
     import xxhash
 
