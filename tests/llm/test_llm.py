@@ -415,3 +415,12 @@ def test_pipeline(spark):
     packed = corpus_pipeline.run(spark, DATA)
     tokens = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.first("doc_tokens").alias("t"))
     assert tokens.where("n % t <> 0").count() == 0 and tokens.count() > 0.5 * len(ids)
+
+
+def test_pipeline_ids(spark):
+    """The last stage returns the token ids themselves; the digest is of them."""
+    import corpus_pipeline
+
+    texts = [(1, "one two three", "en", "s"), (2, None, "en", "s")]
+    got = corpus_pipeline.packing(spark, spark.createDataFrame(texts, "doc_id long, text string, lang string, source string"), DATA).collect()
+    assert got and all(len(r.ids) == r.length and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in got)
