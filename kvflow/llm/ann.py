@@ -5,7 +5,8 @@ indexed. A query probes its ``probes`` nearest cells; in each, asymmetric distan
 best ``rerank`` are rescored exactly on the original vectors. Cells are dealt in blocks of at most ``block`` rows and
 ``block`` queries, so a cell with a third of all rows (copies of one vector) is shared by many tasks; the five best of
 each block are merged per query. How many cells to probe is set from the sample: the least number that finds ``aim``
-of the true neighbours there.
+of the true neighbours there; a query whose cells hold too few other rows takes the next nearest until they suffice.
+Vectors of a length that the sample lacks share one cell, which is searched exactly.
 
 Defined cases: null, zero and non-finite vectors and null ids take no part, neither as query nor as candidate; only
 vectors of one length are compared; a query's own id is no candidate; ties go to the smaller id.
@@ -85,24 +86,37 @@ def _index(shared):
                     cell += [f"{d}:{i}" for i in c]
                     codes += [r.tobytes() for r in ix.codes(u, c)]
                     ok += at.tolist()
+            rare = np.flatnonzero(~np.isin(dims, list(shared.value)))
+            cell += [f"{d}:0" for d in dims[rare]]
+            codes += [b""] * len(rare)
+            ok += rare.tolist()
             take = pa.array(ok, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("x").take(take), pa.array(cell, pa.string()), pa.array(codes, pa.binary())], names=["vec_id", "x", "cell", "codes"])
 
     return index
 
 
-def _probe(shared):
+def _probe(shared, held: dict[str, int], neighbours: int):
+    """``held``: rows of each cell of the fitted lengths. ``own`` rows of a query's id are no candidates."""
+
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             xs = b.column("x").to_pylist()
             row, cell = [], []
-            dims = np.array([len(x) // 8 for x in xs])
+            dims, own = np.array([len(x) // 8 for x in xs]), np.array(b.column("own").to_pylist(), np.int64)
             for d, ix in shared.value.items():
                 at = np.flatnonzero(dims == d)
                 if len(at):
-                    for i, cs in zip(at.tolist(), ix.nearest(unit(matrix([xs[i] for i in at])), ix.probes)):
-                        row += [i] * len(cs)
-                        cell += [f"{d}:{c}" for c in cs]
+                    n = len(ix.centroids)
+                    order = ix.nearest(unit(matrix([xs[i] for i in at])), n)
+                    upto = np.array([held.get(f"{d}:{c}", 0) for c in range(n)])[order].cumsum(1)
+                    enough = (upto < (own[at] + neighbours)[:, None]).sum(1) + 1
+                    for i, cs, k in zip(at.tolist(), order, np.maximum(enough, ix.probes)):
+                        row += [i] * len(cs[:k])
+                        cell += [f"{d}:{c}" for c in cs[:k]]
+            rare = np.flatnonzero(~np.isin(dims, list(shared.value)))
+            row += rare.tolist()
+            cell += [f"{d}:0" for d in dims[rare]]
             take = pa.array(row, pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("vec_id").take(take), b.column("x").take(take), pa.array(cell, pa.string())], names=["query_id", "q", "cell"])
 
@@ -112,21 +126,24 @@ def _probe(shared):
 FOUND = "query_id long, vec_id long, score double"
 
 
-def best_of_block(ix: Index, cell: int, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, rerank: int, neighbours: int):
-    """(query_id, vec_id, score) of each query's nearest in one block, exact scores of the ADC-best."""
+def best_of_block(ix: Index | None, cell: int, query_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, rerank: int, neighbours: int):
+    """(query_id, vec_id, score) of each query's nearest in one block, exact scores of the ADC-best; without an index
+    exact scores of all."""
     order = np.argsort(ids, kind="stable")
     ids, x, codes = ids[order], x[order], codes[order]
     norm = np.sqrt(np.einsum("ij,ij->i", x, x))
     out = []
     for lo in range(0, len(q), 128):
         qs, q_ids = q[lo : lo + 128], query_ids[lo : lo + 128]
-        u = unit(qs)
-        table = ix.tables(u)
-        approx = np.repeat((u @ ix.centroids[cell]).astype(np.float32)[:, None], len(ids), 1)
-        for m in range(ix.parts):
-            approx += table[:, m, :][:, codes[:, m]]
+        approx = np.zeros((len(qs), len(ids)), np.float32)
+        if ix is not None:
+            u = unit(qs)
+            table = ix.tables(u)
+            approx += (u @ ix.centroids[cell]).astype(np.float32)[:, None]
+            for m in range(ix.parts):
+                approx += table[:, m, :][:, codes[:, m]]
         approx[q_ids[:, None] == ids[None, :]] = -np.inf
-        top = np.argsort(-approx, 1, kind="stable")[:, :rerank] if len(ids) > rerank else np.broadcast_to(np.arange(len(ids)), approx.shape)
+        top = np.argsort(-approx, 1, kind="stable")[:, :rerank] if ix is not None and len(ids) > rerank else np.broadcast_to(np.arange(len(ids)), approx.shape)
         for k, at in enumerate(top):
             at = at[np.isfinite(approx[k, at])]
             score = (x[at] * qs[k]).sum(1) / (norm[at] * np.sqrt((qs[k] * qs[k]).sum()))
@@ -141,7 +158,7 @@ def _search(shared, rerank: int, neighbours: int):
         if rows.num_rows and queries.num_rows:
             d, cell = map(int, rows.column("cell")[0].as_py().split(":"))
             codes = np.frombuffer(b"".join(rows.column("codes").to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-            out = best_of_block(shared.value[d], cell, np.asarray(queries.column("query_id")), matrix(queries.column("q").to_pylist()), np.asarray(rows.column("vec_id")), matrix(rows.column("x").to_pylist()), codes, rerank, neighbours)
+            out = best_of_block(shared.value.get(d), cell, np.asarray(queries.column("query_id")), matrix(queries.column("q").to_pylist()), np.asarray(rows.column("vec_id")), matrix(rows.column("x").to_pylist()), codes, rerank, neighbours)
         a, b, c = zip(*out) if out else ((), (), ())
         return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
 
@@ -156,7 +173,11 @@ def nearest_neighbours(table: DataFrame, queries: DataFrame | None = None, *, ev
     fitted = {d: Index(x, cells, parts, aim, neighbours) for d, x in sample(vectors, sample_rows).items()}
     shared = spark.sparkContext.broadcast(fitted)  # cells + codebooks of the sample's dimensions: bounded by parameters
     index = written(vectors.mapInArrow(_index(shared), "vec_id long, x binary, cell string, codes binary"), "index")
-    probes = written(asked.mapInArrow(_probe(shared), "query_id long, q binary, cell string"), "probes")
+    known = index.where(F.split_part("cell", F.lit(":"), F.lit(1)).cast("int").isin(*fitted)) if fitted else index.limit(0)
+    held = {r["cell"]: r["n"] for r in known.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # cells of the sample's lengths
+    own = vectors.groupBy("vec_id").agg(F.count("*").alias("own"))
+    asked = asked.join(own, "vec_id", "left").select("vec_id", "x", F.coalesce("own", F.lit(0).cast("long")).alias("own"))
+    probes = written(asked.mapInArrow(_probe(shared, held, neighbours), "query_id long, q binary, cell string"), "probes")
     size = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
     dealt = size(index, "rows").join(size(probes, "asks"), "cell")  # one row a cell
     dealt = written(dealt, "cells")

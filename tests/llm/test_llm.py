@@ -314,6 +314,24 @@ def test_nearest(vectors):
     assert hit >= 0.9 * total
 
 
+def test_nearest_rare_lengths_and_small_cells(spark):
+    """Lengths that the sample lacks are answered exactly, and every query gets its five rows where there are as many."""
+    rng = np.random.default_rng(5)
+    v = [rng.normal(size=d) for d in range(3, 23) for _ in range(7)]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_neighbours(df, every=1, sample_rows=4).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id))
+    for q, x in enumerate(v):
+        best = sorted((-(x @ y) / np.sqrt((x @ x) * (y @ y)), i) for i, y in enumerate(v) if i != q and len(y) == len(x))[:5]
+        assert [i for _, i in sorted(got[q])] == [i for _, i in best]
+    centres = np.repeat(np.eye(40), 3, 0)
+    tight = centres + 0.01 * rng.normal(size=centres.shape)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(tight)], "vec_id long, embedding array<double>")
+    few = ann.nearest_neighbours(df, every=1, cells=40, aim=0.1).groupBy("query_id").count().collect()
+    assert len(few) == 120 and all(r["count"] == 5 for r in few)
+
+
 def test_recall():
     """Recall at five on the larger random table, against brute force."""
     rng = np.random.default_rng(1)
