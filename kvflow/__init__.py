@@ -1,6 +1,7 @@
 """kvflow: key/value batch processing as declarative PySpark operators.
 
-Functions that run in Python workers travel by value, so executors need no copy of this package on their path.
+Functions that run in Python workers travel by value, and broadcasts hold plain values only (numbers, strings, arrays),
+so executors need no copy of this package on their path.
 """
 
 import sys

@@ -2,46 +2,40 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, read from ``spark.checkpoint.dir``.
-
-    Where the setting is absent, a local-mode session gets a temporary folder; any other master falls back
-    to the warehouse, which a cluster shares as well.
-    """
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if set_dir:
-        return set_dir.rstrip("/")
-    own = getattr(spark.sparkContext, "_kvflow_dir", None)
-    if own is None:
-        if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
-            own = "file://" + tempfile.mkdtemp(prefix="kvflow-")
-        else:
-            own = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kvflow"
-        spark.sparkContext._kvflow_dir = own
-    return own
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset, one in the warehouse, which a cluster shares
+    as well. Never a machine's own temporary folder."""
+    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return set_dir.rstrip("/") if set_dir else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kvflow"
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is there goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/kvflow-{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    return path
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage ends here, so a lost executor
     costs a reread and not a recomputation. The files go when the session's JVM ends, or by :func:`drop`."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/kvflow-{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
     out = spark.read.schema(df.schema).parquet(path)
     out._kvflow_path = path
     return out
 
 
-def drop(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that no later plan reads."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._kvflow_path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def drop(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that no later plan reads."""
+    for df in tables:
+        context = df.sparkSession.sparkContext
+        folder = context._jvm.org.apache.hadoop.fs.Path(df._kvflow_path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
