@@ -15,14 +15,20 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for i, v in zip(b.column("vec_id").to_pylist(), b.column("v").to_pylist()):
             x = np.array(v, "<f8") if i is not None and v and None not in v else None
-            norm = np.sqrt(x @ x) if x is not None else 0
-            out.append(x.tobytes() if np.isfinite(norm) and norm > 0 else None)
+            most = np.abs(x).max() if x is not None else 0
+            if not 0 < most < np.inf:  # also false if a component is not a number
+                out.append(None)
+                continue
+            if not 1e-140 < most < 1e140:  # a power of two changes no digit and no cosine, but squares then fit in doubles
+                x = np.ldexp(x, -int(np.frexp(most)[1]))
+            out.append(x.astype("<f8").tobytes())
         yield pa.RecordBatch.from_arrays([b.column("vec_id"), pa.array(out, pa.binary())], names=["vec_id", "x"])
 
 
 def packed_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """vec_id, x: every row, with its vector as little-endian doubles, or null if it cannot be compared: it or its id is
-    null, it is empty or zero, has a null or non-finite component or a norm that doubles cannot hold."""
+    null, it is empty or zero, or has a null or non-finite component. Vectors of extreme magnitude are scaled by a power
+    of two."""
     return table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).mapInArrow(_checked, "vec_id long, x binary")
 
 
