@@ -2,9 +2,10 @@
 
 Cosine >= c is a chord of at most sqrt(2 - 2c) between unit vectors, so the triangle inequality prunes. The top level
 is a net of pivots from a bounded sample; every distinct vector joins its nearest pivot's cell, and cells are dealt in
-blocks of at most ``block`` vectors. Each block gets a cover tree: nested nets of radius 1, 1/2, 1/4, ... in which a
+blocks of at most ``block`` vectors; there are more pivots for more rows, up to ``most_top``. Each block gets a cover tree: nested nets of radius 1, 1/2, 1/4, ... in which a
 node covers a contiguous range of points within its measured radius. Blocks of two cells meet unless the pivots'
-distance exceeds both cell radii plus the threshold. Where they meet, the trees are traversed together: a pair of nodes
+distance exceeds both cell radii plus the threshold; consecutive blocks form groups, and a block is shipped once to
+each pair of groups in which it may find links. Where blocks meet, the trees are traversed together: a pair of nodes
 is dropped if their distance exceeds both radii plus the threshold, taken whole if distance plus radii lies below it
 (so a dense group costs a few node pairs, not all pairs), else replaced by the pairs of their children; at the last
 level the cosine is computed in double precision.
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components, forest
-from ._store import written
+from ._store import drop, written
 from ._vectors import matrix, packed_vectors, sample, unit
 
 #: Slack of the bounds: rounding never decides a pruning (the first level is in single precision).
@@ -214,46 +215,61 @@ def _assign(shared):
     return assign
 
 
-def _meet(shared, cells: dict[str, tuple[float, int]], cosine: float):
-    """Blocks (rows sorted by block) to one row for each pair of blocks that may hold links: pair, side, block."""
+def numbered(cells: dict[str, tuple[float, int, int]], bound: int) -> tuple[dict[str, int], list[int]]:
+    """The number of each cell's first block, and the group of each block: consecutive blocks of one vector length until
+    they hold ``bound`` rows. ``cells``: radius, blocks and rows of each."""
+    first, group, held, last = {}, [], 0, None
+    for name in sorted(cells, key=lambda c: [int(x) for x in c.split(":")]):
+        _, blocks, rows = cells[name]
+        first[name], dim = len(group), name.split(":")[0]
+        for _ in range(blocks):
+            new = last is None or dim != last or held + rows / blocks > bound
+            group.append((group[-1] + 1 if group else 0) if new else group[-1])
+            held, last = (0 if new else held) + rows / blocks, dim
+    return first, group
+
+
+def _meet(shared, cells: dict[str, tuple[float, int, int]], first: dict[str, int], group: list[int], cosine: float):
+    """Blocks (rows sorted by block) to one row for each pair of groups in which they may find links: the pair, the
+    block's number and those of the blocks it may link with."""
     t = np.sqrt(2 - 2 * cosine)
-    number = {c: i for i, c in enumerate(sorted(cells))}
 
-    def partners(cell: str, far: np.ndarray, x: np.ndarray) -> list[tuple[str, int]]:
-        d, c = cell.split(":")
+    def partners(cell: str, x: np.ndarray) -> list[int]:
+        d = cell.split(":")[0]
         out = []
-        for other, (radius, blocks) in cells.items():
+        for other, (radius, blocks, _) in cells.items():
             if not other.startswith(d + ":"):
                 continue
             if other != cell and int(d) in shared.value:
-                gap = np.sqrt(np.maximum(0, 2 - 2 * (x @ shared.value[int(d)][int(other.split(":")[1])])))
-                if gap.min() > radius + t + SLACK:  # no point of this block comes near the other cell
+                gap = np.sqrt(max(0, 2 - 2 * (x @ shared.value[int(d)][int(other.split(":")[1])]).max()))
+                if gap > radius + t + SLACK:  # no point of this block comes near the other cell
                     continue
-            out += [(other, k) for k in range(blocks)]
+            out += range(first[other], first[other] + blocks)
         return out
 
-    def emit(cell, block, rep, n, far, xs):
-        me = (number[cell], block)
+    def emit(cell, block, rep, n, xs):
+        me = first[cell] + block
         x = matrix(xs)
         tree = CoverTree(unit(x))
         o = tree.order
         packed = pickle.dumps((np.array(rep)[o], np.array(n)[o], x[o], tree.levels), protocol=5)
-        for other, k in partners(cell, np.array(far), tree.u):
-            you = (number[other], k)
-            lo, hi = min(me, you), max(me, you)
-            yield (f"{lo[0]}.{lo[1]}-{hi[0]}.{hi[1]}", int(me == hi), len(rep), packed)
+        by_group: dict[int, list[int]] = {}
+        for you in partners(cell, tree.u):
+            by_group.setdefault(group[you], []).append(you)
+        for other, blocks in by_group.items():
+            yield (f"{min(group[me], other)}-{max(group[me], other)}", me, blocks, packed)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def flush():
             if held:
-                c, k, rep, n, far, xs = zip(*held)
-                for row in emit(c[0], k[0], rep, n, far, list(xs)):
-                    yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.int32()), pa.array([row[3]], pa.binary())], names=["pair", "side", "rows", "packed"])
+                c, k, rep, n, xs = zip(*held)
+                for row in emit(c[0], k[0], rep, n, list(xs)):
+                    yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]], pa.int32()), pa.array([row[2]], pa.list_(pa.int32())), pa.array([row[3]], pa.binary())], names=["pair", "me", "partners", "packed"])
 
         for b in batches:
-            for r in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "rep", "n", "far", "x"))):
+            for r in zip(*(b.column(c).to_pylist() for c in ("cell", "block", "rep", "n", "x"))):
                 if held and held[0][:2] != r[:2]:
                     yield from flush()
                     held = []
@@ -263,66 +279,78 @@ def _meet(shared, cells: dict[str, tuple[float, int]], cosine: float):
     return meet
 
 
-def _link(cosine: float):
-    def unpack(row):
-        ids, n, x, levels = pickle.loads(row["packed"])
+def _link(cosine: float, group: list[int]):
+    """The blocks of a pair of groups to counts (kind 0) and spanning links (kind 1). Holds the blocks of two groups."""
+
+    def unpack(packed):
+        ids, n, x, levels = pickle.loads(packed)
         tree = CoverTree.__new__(CoverTree)  # built where the block was made
         tree.levels, tree.u = levels, unit(x)
         return ids, n, x, tree
 
-    def work(rows: list[dict]) -> pa.RecordBatch:
-        rows = sorted(rows, key=lambda r: r["side"])
-        ia, wa, xa, ta = unpack(rows[0])
-        ib, wb, xb, tb = unpack(rows[1]) if len(rows) == 2 else (ia, wa, xa, ta)
-        a, b, kind = [], [], []
-        if len(rows) == 2 or rows[0]["pair"].split("-")[0] == rows[0]["pair"].split("-")[1]:
-            na, nb, ea, eb = dual_traversal(ta, tb, xa, xb, wa, wb, cosine)
-            if tb is ta:
-                na, nb = na + nb, nb[:0]
-            for ids, n in ((ia, na), (ib[: len(nb)], nb)):
-                at = np.flatnonzero(n)
-                a += ids[at].tolist()
-                b += n[at].tolist()
-            kind = [0] * len(a)
-            tree = forest(zip(ia[ea].tolist(), ib[eb].tolist()))
-            a += [u for u, _ in tree]
-            b += [v for _, v in tree]
-            kind += [1] * len(tree)
-        return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+    def between(one: tuple, other: tuple) -> pa.RecordBatch:
+        (ia, wa, xa, ta), (ib, wb, xb, tb) = one, other
+        na, nb, ea, eb = dual_traversal(ta, tb, xa, xb, wa, wb, cosine)
+        if tb is ta:
+            na, nb = na + nb, nb[:0]
+        a, b = [], []
+        for ids, n in ((ia, na), (ib[: len(nb)], nb)):
+            at = np.flatnonzero(n)
+            a += ids[at].tolist()
+            b += n[at].tolist()
+        kind = [0] * len(a)
+        tree = forest(zip(ia[ea].tolist(), ib[eb].tolist()))
+        a += [u for u, _ in tree]
+        b += [v for _, v in tree]
+        return pa.RecordBatch.from_arrays([pa.array(kind + [1] * len(tree), pa.int32()), pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["kind", "a", "b"])
+
+    def work(pair: str, held: dict[int, tuple]) -> Iterator[pa.RecordBatch]:
+        lo, hi = map(int, pair.split("-"))
+        opened = {k: unpack(packed) for k, (_, packed) in held.items()}
+        for i in (k for k in held if group[k] == lo):
+            for j in (k for k in held if group[k] == hi):
+                if (lo != hi or i <= j) and j in held[i][0] and i in held[j][0]:
+                    yield between(opened[i], opened[j])
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[dict] = []
+        now, held = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
-                r = {c: batch.column(c)[k].as_py() for c in ("pair", "side", "rows", "packed")}
-                if held and held[0]["pair"] != r["pair"]:
-                    yield work(held)
-                    held = []
-                held.append(r)
+                pair, me, partners, packed = (batch.column(c)[k].as_py() for c in ("pair", "me", "partners", "packed"))
+                if pair != now and held:
+                    yield from work(now, held)
+                    held = {}
+                now = pair
+                held[me] = (set(partners), packed)
         if held:
-            yield work(held)
+            yield from work(now, held)
 
     return link
 
 
-def embedding_components(table: DataFrame, *, cosine: float = 0.9, top: int = 16, block: int = 4096, sample_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def embedding_components(table: DataFrame, *, cosine: float = 0.9, top: int = 16, most_top: int = 512, block: int = 4096, group_blocks: int = 8, sample_rows: int = 4096, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per vector."""
     spark = table.sparkSession
     rows = written(packed_vectors(table, id_col, vector_col).withColumn("key", F.md5("x")), "vectors")
     distinct = written(rows.where("x is not null").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"), F.first("x").alias("x")), "distinct")
-    net = {d: pivots(x, top) for d, x in sample(distinct.withColumnRenamed("rep", "vec_id"), sample_rows).items()}
-    shared = spark.sparkContext.broadcast(net)  # at most ``top`` pivots for each vector length in the bounded sample
+    n = distinct.count()
+    # more pivots for more rows: at most ``most_top`` for each vector length in the bounded sample
+    net = {d: pivots(x, max(top, min(most_top, n // (2 * block)))) for d, x in sample(distinct.withColumnRenamed("rep", "vec_id"), sample_rows).items()}
+    shared = spark.sparkContext.broadcast(net)
     celled = written(distinct.select("rep", "n", "x").mapInArrow(_assign(shared), "rep long, n long, x binary, cell string, far double"), "cells")
     # one row a cell: bounded by the pivots
-    cells = {r["cell"]: (r["radius"], r["blocks"]) for r in celled.groupBy("cell").agg(F.max("far").alias("radius"), F.ceil(F.count("*") / block).cast("int").alias("blocks")).collect()}
-    sizes = F.create_map(*[F.lit(v) for c, (_, n) in sorted(cells.items()) for v in (c, n)]) if cells else None
+    cells = {r["cell"]: (r["radius"], -(-r["rows"] // block), r["rows"]) for r in celled.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("rows")).collect()}
+    first, group = numbered(cells, max(block // 2, min(group_blocks * block, n // 12)))
+    sizes = F.create_map(*[F.lit(v) for c, (_, blocks, _) in sorted(cells.items()) for v in (c, blocks)]) if cells else None
     dealt = celled.withColumn("block", F.pmod(F.xxhash64("rep"), F.element_at(sizes, F.col("cell")) if cells else F.lit(1)).cast("int"))
-    met = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_meet(shared, cells, cosine), "pair string, side int, rows int, packed binary")
-    found = written(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_link(cosine), "kind int, a long, b long"), "links")
+    met = dealt.repartition("cell", "block").sortWithinPartitions("cell", "block").mapInArrow(_meet(shared, cells, first, group, cosine), "pair string, me int, partners array<int>, packed binary")
+    found = written(met.repartition("pair").sortWithinPartitions("pair").mapInArrow(_link(cosine, group), "kind int, a long, b long"), "links")
+    drop(celled)
     counts = found.where("kind = 0").groupBy("a").agg((F.sum("b") - 1).alias("links"))
     roots = connected_components(found.where("kind = 1").select("a", "b"))
     per_rep = distinct.select("key", "rep").join(counts, F.col("rep") == F.col("a"), "left").join(roots, F.col("rep") == F.col("id"), "left")
     per_rep = written(per_rep.select("key", F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("root", "rep").alias("component_id")), "reps")
+    drop(distinct, found)
     out = rows.select("vec_id", "key").join(per_rep, "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(False)).alias("kept"))
