@@ -9,11 +9,14 @@ Data flow (nothing here grows with the corpus on one node):
 
 1. one scan emits (anchor, context hash, doc, start, windows) - about 2/(window-k+2) rows a word - and anchors of one
    document only are dropped;
-2. a grouped aggregate keeps each distinct context once, with its smallest document, as representative;
+2. a grouped aggregate keeps each distinct context once, with its smallest document, as representative. Contexts are
+   told apart by 128 bits (the hashes of anchor and words), which is the only place where words are not compared;
 3. words of representatives only are cut from their texts (a join by document);
-4. contexts are dealt by anchor to tasks, which fill bounded *shards* and run an engine on each; an anchor with more
-   than ``crowded`` contexts (a common phrase in ever new surroundings) is dealt window by window instead, equal
-   windows merged first, so no group of unbounded size meets in one task;
+4. contexts are dealt by anchor to tasks, which fill bounded *shards* and run an engine on each. An anchor with more
+   than ``crowded`` contexts (a common phrase in ever new surroundings) is split by longer context: window by window,
+   those of one hash together. A window that stands in many contexts is dealt in groups of ``crowded``; the engine
+   compares the words of a group, one window of each kind goes on to the next round with its smallest document, until
+   one group is left. So no group of unbounded size meets in one task, and the engine decides every match;
 5. the engine says for each context which windows stand in which smallest document; joined back to all occurrences,
    windows whose smallest document is smaller than their own are removed.
 """
@@ -102,45 +105,82 @@ def _cut(window: int):
     return cut
 
 
-def _sharded(engine: Callable, window: int, shard_words: int):
-    """Feed runs of whole anchor groups (rows come sorted by ``s``) to ``engine`` in shards of about ``shard_words``."""
-
-    def run(rows):
-        out = []
-        least = engine([(r[5], r[6], r[8].split()) for r in rows], [r[0] for r in rows], window)
-        for r, per_window in zip(rows, least):
-            b = 0
-            for e in range(1, len(per_window) + 1):
-                if e == len(per_window) or per_window[e] != per_window[b]:
-                    if per_window[b] < r[7]:
-                        out.append((r[1], r[2], r[3] + b, r[3] + e, per_window[b]))
-                    b = e
-        return out
+def _in_shards(work: Callable, keys: int, words_of: Callable, shard_words: int, names: list[str], kinds: list[pa.DataType]):
+    """Feed runs of whole groups (rows come sorted; the first ``keys`` columns name the group) to ``work`` in shards of
+    about ``shard_words`` words."""
 
     def batch(out):
-        cols = list(zip(*out)) if out else [[]] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=["a", "c", "b", "e", "least"])
+        cols = list(zip(*out)) if out else [[]] * len(names)
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds)], names=names)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size, out = [], 0, []
         for b in batches:
             for r in zip(*(x.to_pylist() for x in b.columns)):
-                if size >= shard_words and r[0] != held[-1][0]:
-                    out += run(held)
+                if size >= shard_words and r[:keys] != held[-1][:keys]:
+                    out += work(held)
                     held, size = [], 0
                     if len(out) > 50_000:
                         yield batch(out)
                         out = []
                 held.append(r)
-                size += r[4] + window - 1
+                size += words_of(r)
         if held:
-            out += run(held)
+            out += work(held)
         yield batch(out)
 
     return shards
 
 
+def _matched(engine: Callable, window: int, shard_words: int):
+    """Contexts of one anchor (s, a, c, i, n, off, m, top, words): the windows whose smallest document is below ``top``."""
+
+    def run(rows):
+        out = []
+        least = engine([(r[5], r[6], r[8].split()) for r in rows], [r[0] for r in rows], window)
+        for r, per_window in zip(rows, least):
+            b = 0
+            for e in range(1, len(per_window) + 1):
+                if e == len(per_window) or per_window[e] != per_window[b]:
+                    if per_window[b] < r[7]:
+                        out.append((r[1], r[2], r[3] + b, r[3] + e, per_window[b]))
+                    b = e
+        return out
+
+    return _in_shards(run, 1, lambda r: r[4] + window - 1, shard_words, ["a", "c", "b", "e", "least"], [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64()])
+
+
+def _merged(engine: Callable, window: int, shard_words: int):
+    """Groups of single windows (s, part, off, m, words): each kind of a group once, with its smallest document."""
+
+    def run(rows):
+        least = engine([(r[2], r[3], r[4].split()) for r in rows], [r[:2] for r in rows], window)
+        kinds = {(r[0], r[1], r[4]): (r[2], found[0]) for r, found in zip(rows, least)}
+        return [(s, off, m, words) for (s, _, words), (off, m) in kinds.items()]
+
+    return _in_shards(run, 2, lambda r: window, shard_words, ["s", "off", "m", "words"], [pa.int64(), pa.int32(), pa.int64(), pa.binary()])
+
+
+def _crowded(single: DataFrame, engine: Callable, window: int, crowded: int, shard_words: int) -> tuple[DataFrame, DataFrame]:
+    """single (s, a, c, i, off, m, top, words), a window a row, to (a, c, b, e, least), and the table that this reads."""
+    sizes = lambda df: df.groupBy("s").agg(F.count("*").alias("k")).where("k > 1")
+    now = single.join(sizes(single), "s").select("s", F.pmod(F.xxhash64("a", "c", "i"), F.ceil(F.col("k") / crowded)).alias("part"), "off", "m", "words", "k")
+    now = written(now, "many")
+    while True:
+        more = not now.where(F.col("k") > crowded).isEmpty()
+        grouped = now.select("s", "part", "off", "m", "words").repartition("s", "part").sortWithinPartitions("s", "part", "m")
+        merged = written(grouped.mapInArrow(_merged(engine, window, shard_words), "s long, off int, m long, words binary"), "merged")
+        drop(now)
+        if not more:
+            break
+        counted = merged.groupBy("s").agg(F.count("*").alias("k"))
+        now = written(merged.join(counted, "s").select("s", F.pmod(F.xxhash64("m", "words"), F.ceil(F.col("k") / crowded)).alias("part"), "off", "m", "words", "k"), "many")
+        drop(merged)
+    least = merged.select("s", F.xxhash64("words").alias("w"), F.col("m").alias("least"))
+    each = single.select("s", F.xxhash64("words").alias("w"), "a", "c", "i", "m", "top").join(least, ["s", "w"], "left").withColumn("least", F.coalesce("least", "m"))
+    return each.where("least < top").select("a", "c", F.col("i").alias("b"), (F.col("i") + 1).alias("e"), "least"), merged
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for b in chunks(whole, "bytes"):
@@ -185,17 +225,10 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     lists = reps.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
     cut = written(rows.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT), "passages")
 
-    def matched(contexts: DataFrame) -> DataFrame:
-        return contexts.repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_sharded(engine, window, shard_words), "a long, c long, b int, e int, least long")
-
-    # crowded anchors: a window of their contexts is matched once, however many contexts hold it
-    single = cut.where("s <> a")
-    once = single.groupBy("s").agg(F.min("m").alias("m"), F.max("top").alias("top"), F.min("words").alias("words"))
-    once = once.select("s", F.col("s").alias("a"), F.col("s").alias("c"), F.lit(0).alias("i"), F.lit(1).alias("n"), F.lit(0).alias("off"), "m", "top", "words")
-    least = written(matched(once).select(F.col("a").alias("s"), "least"), "crowded")
-    of_windows = single.select("s", "a", "c", "i", "top").join(least, "s").where("least < top").select("a", "c", F.col("i").alias("b"), (F.col("i") + 1).alias("e"), "least")
-    found = written(matched(cut.where("s = a")).unionByName(of_windows), "windows")
-    drop(cut)
+    whole = cut.where("s = a").repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_matched(engine, window, shard_words), "a long, c long, b int, e int, least long")
+    single, merged = _crowded(cut.where("s <> a"), engine, window, crowded, shard_words)
+    found = written(whole.unionByName(single), "windows")
+    drop(cut, distinct, groups, repeated, merged)
     spans = occ.join(found, ["a", "c"]).where("least < doc").select("doc", "th", F.struct((F.col("s0") + F.col("b")).alias("b"), (F.col("s0") + F.col("e") + (window - 1)).alias("e")).alias("span"))
     spans = spans.groupBy("doc", "th").agg(F.collect_set("span").alias("spans"))
     joined = rows.join(spans, ["doc", "th"], "left").select("doc", "bytes", "spans")
