@@ -1,14 +1,18 @@
 """Toxicity by a weighted lexicon, matched with Aho-Corasick after folding.
 
 Folding lower-cases, maps homoglyphs to Latin letters and digit substitutions inside words back to letters. The lexicon
-holds word beginnings (and whole words) whose document frequency differs between labelled toxic and clean rows; its
-weights are log odds. Exception phrases are a term with the word before it that occurs in clean rows: a match ending in
+holds word beginnings of ``SHORTEST`` to ``LONGEST`` letters (and whole words) whose document frequency differs between
+labelled toxic and clean rows, at most ``most_terms`` of them, those of most toxic rows first; its weights are log odds.
+Exception phrases are a term with the word before it that occurs in clean rows: a match ending in
 one does not count. The score is a logistic function of the matched weight, once saturated and once per 100 words, so
 long texts are not toxic for their length. Lexicon and calibration are learned from a sample of at most
-``toxic_rows`` + ``clean_rows`` labelled rows outside the held-out third; scoring covers every whole text.
+``toxic_rows`` + ``clean_rows`` labelled rows outside the held-out third; scoring covers every whole text. The terms'
+thresholds were set on a split of the learning rows; the held-out third only served the figures in the README.
 
 Defined cases: null and empty texts score as a text without matches; null ids are not held out; rows without a label
-are scored, too; a table without labels of both kinds gets an empty lexicon and score 0; repeated rows score alike.
+are scored, too; a table without labels of both kinds gets an empty lexicon and score 0; repeated rows score alike, and of
+rows that share an id the least text is learned from; labels other than 0 and 1 are passed over, and of several labels
+of one id the greatest holds. Other columns, whatever their names, are neither read nor changed.
 """
 
 from __future__ import annotations
@@ -22,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import drop, written
 from ._words import chunks, tidy
 
 #: Cyrillic and Greek letters that look Latin, and digit or symbol substitutions.
@@ -162,14 +167,15 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bounds: tuple[int, int], columns: list[str], id_col: str) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, bounds: tuple[int, int], columns: list[Column], id_col: str) -> DataFrame:
     """At most ``bounds[k]`` rows of label k outside the held-out third, chosen by a hash of the id: the columns and
-    ``label``. Only the bounded id list is broadcast."""
-    named = labels.where(F.col(label_col).isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
-    parts = [named.where(F.col("label") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n) for k, n in enumerate(bounds)]
-    chosen = parts[0].unionByName(parts[1]).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_id")).select(*columns, "label")
-    return joined
+    ``label``. Of rows that share an id the least one counts. Only the bounded id list is broadcast."""
+    named = labels.select(F.col("doc_id").cast("long").alias("sample_id"), F.col(label_col).cast("int").alias("label"))
+    named = named.where(F.col("label").isin(0, 1) & F.col("sample_id").isNotNull() & ~held_out(F.col("sample_id"))).groupBy("sample_id").agg(F.max("label").alias("label"))
+    parts = [named.where(F.col("label") == k).orderBy(F.xxhash64("sample_id"), "sample_id").limit(n) for k, n in enumerate(bounds)]
+    chosen = parts[0].unionByName(parts[1])
+    joined = docs.select(F.col(id_col).cast("long").alias("sample_id"), F.struct(*columns).alias("row")).join(F.broadcast(chosen), "sample_id")
+    return joined.groupBy("sample_id", "label").agg(F.min("row").alias("row")).select("row.*", "label")
 
 
 class ToxicityModel:
@@ -178,29 +184,40 @@ class ToxicityModel:
     def __init__(self, terms: dict[str, float], exceptions: set[str], weights: np.ndarray | None):
         self.terms, self.exceptions, self.weights = terms, exceptions, weights
 
-    def score(self, machine, text: str) -> tuple[float, int]:
+    def plain(self) -> tuple[dict[str, float], set[str], list[float] | None]:
+        """As plain values, for a broadcast: at most 2 x ``most_terms`` short strings."""
+        return self.terms, self.exceptions, None if self.weights is None else self.weights.tolist()
+
+
+def scorer(model: tuple[dict[str, float], set[str], list[float] | None]):
+    """text -> (score, matched lexicon words)."""
+    terms, exceptions, weights = model
+    machine = automaton(terms)
+
+    def score(text: str) -> tuple[float, int]:
         words = folded_words(text)
-        total, hits = matches(machine, words, self.exceptions)
-        if self.weights is None:
+        total, hits = matches(machine, words, exceptions)
+        if weights is None:
             return 0.0, hits
-        z = float(np.dot(self.weights[:-1], features(total, hits, len(words))) + self.weights[-1])
+        z = sum(w * x for w, x in zip(weights, (*features(total, hits, len(words)), 1.0)))
         return 1 / (1 + math.exp(-max(-40.0, min(40.0, z)))), hits
 
+    return score
 
-def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, support: int = 3, most_terms: int = 2000, odds: float = 2.5, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
-    rows = labelled_sample(docs, labels, label_col, (clean_rows, toxic_rows), [F.col(text_col).alias("text")], id_col)
-    from ._store import drop, written
 
-    rows = written(rows, "sample").repartition(docs.sparkSession.sparkContext.defaultParallelism)
+def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, support: int = 3, most_terms: int = 2000, odds: float = 2.5, least_share: float = 0.008, clean_share: float = 0.01, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    rows = labelled_sample(docs, labels, label_col, (clean_rows, toxic_rows), [F.col(text_col).alias("text")], id_col)
+    sample = written(rows, "sample")
+    rows = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)
     size = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return ToxicityModel({}, set(), None)
     counts = rows.mapInArrow(_counted, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     weight = F.log((F.col("toxic") + 0.5) / (n1 + 1)) - F.log((F.col("clean") + 0.5) / (n0 + 1))
-    # a term must occur in ``support`` toxic rows and in 0.8 % of them, speak for at least ``odds`` and be rare
-    # in clean rows: at most 2 % of its share in toxic ones, one row aside
-    top = counts.withColumn("w", weight).where((F.col("toxic") >= max(support, 0.008 * n1)) & (F.col("w") >= odds) & (F.col("clean") * n1 <= 0.02 * F.col("toxic") * n0 + n1))
+    # a term must occur in ``support`` toxic rows and in ``least_share`` of them, speak for at least ``odds`` and be rare
+    # in clean rows: at most ``clean_share`` of its share in toxic ones, one row aside
+    top = counts.withColumn("w", weight).where((F.col("toxic") >= max(support, least_share * n1)) & (F.col("w") >= odds) & (F.col("clean") * n1 <= clean_share * F.col("toxic") * n0 + n1))
     best = top.orderBy(F.col("toxic").desc(), F.length("term"), "term").limit(most_terms).collect()
     terms: dict[str, float] = {}
     for r in sorted(best, key=lambda r: (len(r["term"]), r["term"])):
@@ -210,20 +227,17 @@ def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_r
     phrases = rows.mapInArrow(_matched(terms, set(), True), "phrase string, toxic long, clean long").groupBy("phrase").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
     exceptions = {r["phrase"] for r in phrases.where("clean >= 3 and toxic * 9 <= clean").orderBy(F.col("clean").desc(), "phrase").limit(most_terms).collect()}
     data = rows.mapInArrow(_matched(terms, exceptions, False), "a double, b double, c double, label double").toPandas().to_numpy()
-    # evidence of both classes counts alike
-    order = np.lexsort(data.T)
-    data = data[order]
-    model = logistic(data[:, :3], data[:, 3])
-    return ToxicityModel(terms, exceptions, model)
+    drop(sample)
+    data = data[np.lexsort(data.T)]  # the same sums whatever the order of tasks
+    return ToxicityModel(terms, exceptions, logistic(data[:, :3], data[:, 3]))
 
 
 def _scored(shared):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
-        machine = automaton(model.terms)
+        of = scorer(shared.value)
         for whole in batches:
             for b in chunks(whole, "bytes"):
-                got = [model.score(machine, (t or b"").decode("utf-8", "replace")) for t in b.column("bytes").to_pylist()]
+                got = [of((t or b"").decode("utf-8", "replace")) for t in b.column("bytes").to_pylist()]
                 s, h = zip(*got) if got else ((), ())
                 keep = [b.column(c) for c in b.schema.names if c != "bytes"]
                 yield pa.RecordBatch.from_arrays([*keep, pa.array(s, pa.float64()), pa.array(h, pa.int64())], names=[c for c in b.schema.names if c != "bytes"] + ["score", "hits"])
@@ -234,23 +248,25 @@ def _scored(shared):
 def score_toxicity(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """doc_id, held_out, score, predicted, hits (matched lexicon words)."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most 2 x most_terms short strings
+    shared = docs.sparkSession.sparkContext.broadcast(model.plain())
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
     out = rows.mapInArrow(_scored(shared), "doc_id long, score double, hits long")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "hits")
 
 
 def reject_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The documents that score below the threshold, unchanged and without a shuffle."""
+    """The documents that score below the threshold, unchanged and without a shuffle; null texts score as empty ones,
+    rows with null ids and repeated rows are judged like any other."""
     model = learn(docs, labels, id_col=id_col, text_col=text_col, **options)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model.plain()), docs.columns.index(text_col)
 
     def passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = automaton(shared.value.terms)
+        of = scorer(shared.value)
         for b in batches:
-            texts = b.column(text_col)
-            ok = [shared.value.score(machine, texts[i].as_py() or "")[0] < threshold for i in range(b.num_rows)]
+            texts = b.column(at)
+            ok = [of(texts[i].as_py() or "")[0] < threshold for i in range(b.num_rows)]
             yield b.filter(pa.array(ok, pa.bool_()))
             tidy()
 
-    return docs.mapInArrow(passed, docs.schema)
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever marks the names hold
+    return plain.mapInArrow(passed, plain.schema).toDF(*docs.columns)
