@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ._names import own
 from ._store import drop, written
 
 #: Weights of the sources in order, repeating.
@@ -83,7 +84,7 @@ def mix_to_weights(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2
 def mixed_documents(docs: DataFrame, *, budget_ratio: float = 1.5, cap: float = 2.0, weights: tuple[float, ...] = WEIGHTS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix reads them: each as often as it is taken (the last one of a budget if at least half of
     it is; texts without words once). Texts are not shuffled: only the row per source travels."""
-    sized = docs.select(F.struct(*docs.columns).alias("_row"), words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("h"), F.col(source_col).alias("source"))
+    sized = docs.select(F.struct(*own(docs)).alias("_row"), words(F.col(text_col)).alias("size"), document_hash(F.col(id_col)).alias("h"), F.col(source_col).alias("source"))
     state = _thresholds(written(sized.select("source", "size", "h"), "sizes"), budget_ratio, cap, weights)
     copies = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(1).cast("int")
     return _taken(sized, state).withColumn("_copy", F.explode(F.array_repeat(F.lit(1), copies))).select("_row.*")

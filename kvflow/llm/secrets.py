@@ -6,7 +6,9 @@ access key id) and ``hex`` (a long hexadecimal run). The method adds ``live`` sp
 ``min_key`` of key characters with lower case, upper case and digits) that no base span covers. Candidate values are
 hashed and counted over the corpus by distinct texts (copies of one text count once) and distinct sources (owners): a
 value of more than ``max_owners`` owners, or of several owners in more than ``max_documents`` texts, is a published
-example, any other is owner-specific and looks live, however often its one owner repeats it. Base spans are reported either way, with their class; a key-like string is only reported if live.
+example, any other is owner-specific and looks live, however often its one owner repeats it. Base spans are reported
+either way, with their class; a key-like string is only reported if live. Runs of any length are told alike. Values and
+texts are told apart by 64-bit hashes.
 
 Defined cases: null text is empty; a null source counts as one source; repeated rows are each reported and count as
 one document, as do copies under other ids; an empty table gives no rows.
@@ -17,7 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._store import written
+from ._names import own, unused
+from ._store import drop, written
 
 #: The patterns of the base kinds (value group, least characters of it).
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -76,7 +79,9 @@ def _findings(rows: DataFrame, max_owners: int, max_documents: int) -> DataFrame
     widely = (F.col("owners") > max_owners) | ((F.col("owners") > 1) & (F.col("documents") > max_documents))
     examples = written(owners.join(texts, "vh").where(widely).select("vh"), "examples")
     spread = each.select("row", "doc_id", "th", "f").join(examples.withColumn("example", F.lit(True)), F.col("f.vh") == F.col("vh"), "left")
-    return written(spread.select("row", "doc_id", "th", "f.start", "f.end", "f.kind", F.col("example").isNull().alias("live")).where("kind < 3 or live"), "findings")
+    found = written(spread.select("row", "doc_id", "th", "f.start", "f.end", "f.kind", F.col("example").isNull().alias("live")).where("kind < 3 or live"), "findings")
+    drop(examples)
+    return found
 
 
 def scan_secrets(docs: DataFrame, *, max_owners: int = 2, max_documents: int = 20, min_key: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -96,8 +101,11 @@ def scan_secrets(docs: DataFrame, *, max_owners: int = 2, max_documents: int = 2
 def redact_secrets(docs: DataFrame, *, mask: str = "[SECRET]", max_owners: int = 2, max_documents: int = 20, min_key: int = 20, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents with every live span replaced by ``mask``; published examples and all other text stay."""
     rows = _candidates(docs, min_key, id_col, text_col, source_col)
-    live = _findings(rows, max_owners, max_documents).where("live").select(F.col("doc_id").alias("_d"), F.col("th").alias("_t"), F.struct("start", "end").alias("s"))
-    live = live.groupBy("_d", "_t").agg(F.array_sort(F.collect_set("s")).alias("_live"))
+    findings = _findings(rows, max_owners, max_documents)
+    h, d, t, masks = (unused(n, docs) for n in ("text_hash", "live_id", "live_hash", "live"))
+    live = findings.where("live").select(F.col("doc_id").alias(d), F.col("th").alias(t), F.struct("start", "end").alias("s"))
+    live = written(live.groupBy(d, t).agg(F.array_sort(F.collect_set("s")).alias(masks)), "masks")
+    drop(rows, findings)
     text = F.col(text_col)
 
     def step(acc: Column, s: Column) -> Column:
@@ -106,6 +114,6 @@ def redact_secrets(docs: DataFrame, *, mask: str = "[SECRET]", max_owners: int =
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(inside, acc["text"]).otherwise(piece).alias("text"))
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
-    masked = F.aggregate("_live", start, step, lambda acc: F.concat(acc["text"], text.substr(acc["at"] + 1, F.length(text))))
-    joined = docs.withColumn("_h", F.xxhash64(text_col)).join(live, F.col(id_col).eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_t")), "left")
-    return joined.select(*[F.when(F.col("_live").isNull(), text).otherwise(masked).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    masked = F.aggregate(masks, start, step, lambda acc: F.concat(acc["text"], text.substr(acc["at"] + 1, F.length(text))))
+    joined = docs.withColumn(h, F.xxhash64(text_col)).join(live, F.col(id_col).eqNullSafe(F.col(d)) & (F.col(h) == F.col(t)), "left")
+    return joined.select(*[F.when(F.col(masks).isNull(), text).otherwise(masked).alias(c) if c == text_col else each for c, each in zip(docs.columns, own(docs))])

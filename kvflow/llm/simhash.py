@@ -22,11 +22,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import connected_components
-from ._store import written
+from ._names import own, unused
+from ._store import drop, written
 from ._words import chunks
 
 THRESHOLD = 3
@@ -55,12 +56,17 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for whole in batches:
         for b in chunks(whole, "bytes"):
             fp = np.array([fingerprint((t or b"").lower().split()) for t in b.column("bytes").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("rh"), pa.array(fp.view(np.int64))], names=["doc_id", "rh", "fp"])
+
+
+def row_hash(docs: DataFrame) -> Column:
+    """A hash of a whole row; rows that differ only in maps, which have no order, hash alike."""
+    return F.xxhash64(*[c for c, f in zip(own(docs), docs.schema.fields) if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long)."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes")).mapInArrow(_fingerprints, "doc_id long, fp long")
+    """doc_id, rh (hash of the row), fp (the fingerprint as a signed long)."""
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("rh"), F.col(text_col).cast("binary").alias("bytes")).mapInArrow(_fingerprints, "doc_id long, rh long, fp long")
 
 
 def syndromes(v: np.ndarray) -> np.ndarray:
@@ -159,19 +165,33 @@ def near_links(distinct: DataFrame, block: int = 1024) -> DataFrame:
     return dealt.repartition("anchor", "part").sortWithinPartitions("anchor", "part").mapInArrow(_compare, "a long, b long")
 
 
-def simhash_components(docs: DataFrame, *, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
-    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+def _labelled(rows: DataFrame, block: int) -> DataFrame:
+    """rows (doc_id, fp, ...), written, to the component of each distinct fingerprint: fp, root, component_id, written."""
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("m")), "distinct")
     roots = connected_components(near_links(distinct.select("fp"), block))
     rooted = written(distinct.join(roots, F.col("fp") == F.col("id"), "left").select("fp", "m", F.coalesce("root", "fp").alias("root")), "roots")
     smallest = written(rooted.groupBy("root").agg(F.min("m").alias("component_id")), "smallest")
-    label = written(rooted.join(smallest, "root").select("fp", "component_id"), "labels")
-    return rows.join(label, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    label = written(rooted.join(smallest, "root").select("fp", "root", "component_id"), "labels")
+    drop(distinct, rooted, smallest)
+    return label
+
+
+def simhash_components(docs: DataFrame, *, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links)."""
+    rows = written(fingerprints(docs, id_col, text_col).select("doc_id", "fp"), "fingerprints")
+    return rows.join(_labelled(rows, block), "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def simhash_dedup(docs: DataFrame, *, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest id (rows with null id stay)."""
-    kept = simhash_components(docs, block=block, id_col=id_col, text_col=text_col).where(f"doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col(id_col) == F.col("_kept"), "left_semi").dropDuplicates([id_col])
-    return named.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    """The documents without near copies, one row of each component: that of the smallest id and, among rows of this id
+    in the component, of the least row hash. Rows of one id in different components are different documents, so a text
+    without a near copy stays whatever its id; of rows that agree in every column one stays; rows with null id all stay."""
+    rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    label = _labelled(rows, block)
+    best = rows.where("doc_id is not null").join(label, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "rh")).alias("best"))
+    h, d, r = (unused(n, docs) for n in ("row_hash", "best_id", "best_row"))
+    best = written(best.select(F.col("best.doc_id").alias(d), F.col("best.rh").alias(r)), "best")
+    drop(rows, label)
+    hashed = docs.withColumn(h, row_hash(docs))
+    named = hashed.join(best, (F.col(id_col).cast("long") == F.col(d)) & (F.col(h) == F.col(r)), "left_semi").dropDuplicates([id_col, h])
+    return named.select(*own(docs)).unionByName(docs.where(F.col(id_col).isNull()))
