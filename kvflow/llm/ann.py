@@ -345,7 +345,8 @@ def nearest_neighbours(
         chunks, blocks = int((first + number).max()) + chunks, int((home + homes_of).max()) + blocks
     placed = [(d, c, int(f), int(n)) for d, (_, first, number, *_) in layout.items() for c, (f, n) in enumerate(zip(first, number))]
     cells = spark.createDataFrame(placed, "dim int, cell int, first long, number long")
-    probes = written(asked.where(F.col("dim").isin(*dims)).mapInArrow(_probe(shared, spark.sparkContext.broadcast(layout), known, neighbours, rerank), PROBES), "probes")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # queries are few bytes, but much work each
+    probes = written(asked.where(F.col("dim").isin(*dims)).repartition(tasks, "row").mapInArrow(_probe(shared, spark.sparkContext.broadcast(layout), known, neighbours, rerank), PROBES), "probes")
     chunked = index.join(F.broadcast(cells), ["dim", "cell"]).withColumn("chunk", F.col("first") + F.pmod(F.xxhash64("row"), F.col("number")))  # at most ``most_cells`` rows a length
     left = chunked.join(probes.select(*[F.col(k).alias(k) for k in ("chunk", "block")]).distinct(), "chunk")
     keys = ["chunk", "block"]
