@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._store import drop, written
-from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, span_hashes, word_hashes
+from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, span_hashes, tidy, word_hashes
 
 OCC = "a long, c long, doc long, th long, s0 int, n int, off int"
 
@@ -128,6 +128,8 @@ def _in_shards(work: Callable, keys: int, words_of: Callable, shard_words: int,
         if held:
             out += work(held)
         yield batch(out)
+        del held, out
+        tidy()
 
     return shards
 

@@ -19,7 +19,7 @@ P = np.uint64(0x9E3779B97F4A7C15)
 #: Its inverse modulo 2**64, so that a prefix difference can be shifted back to position 0.
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that a kernel turns into word lists at a time.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def tidy() -> None:
