@@ -97,5 +97,34 @@ comp as (select id, min(c) as component_id from reach group by id), n as (select
 select vec_id, coalesce(n.n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from v join comp on id = vec_id left join n on a = vec_id"""
 
 
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word)
+
+
+def _secrets_sql() -> str:
+    names = "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key")))
+    assign = f"""({names})["']?\\x20*[:=]\\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+    kinds = [("assign", assign, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("hex", "[0-9a-f]{16,}", 0, 16), ("live", "[A-Za-z0-9+/_-]{20,}", 0, 20)]
+    found = " union all ".join(
+        f"""select "row", {k} as kind, list_sum(list_transform(g[1:i], lambda x: length(x)))::bigint + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::bigint as a, length(m[i]) as n, v[i] as v
+        from (select "row", g, m, v, unnest(range(1, len(m) + 1)) as i from (select "row", regexp_split_to_array(t, '{p}') as g, regexp_extract_all(t, '{p}', 0) as m, regexp_extract_all(t, '{p}', {group}) as v from d)) where length(v[i]) >= {least}"""
+        for k, (_, p, group, least) in enumerate(kinds)
+    )
+    listed = lambda where: f"string_agg(case kind when 0 then 'assign' when 1 then 'access' when 2 then 'hex' else 'live' end || ':' || a || ':' || b, ',' order by a, kind) filter (where {where})"
+    return f"""
+with d as (select row_number() over () as "row", doc_id, coalesce(text, '') as t, source from documents),
+f as (select "row", kind, a, a + n as b, v from ({found})),
+spans as (select * from f where kind < 3 or (regexp_matches(v, '[0-9]') and regexp_matches(v, '[A-Z]') and regexp_matches(v, '[a-z]') and not exists (select 1 from f as o where o."row" = f."row" and o.kind < 3 and o.a < f.b and f.a < o.b))),
+owners as (select v, count(*) as owners from (select distinct v, source from spans join d using ("row")) group by v),
+texts as (select v, count(*) as documents from (select distinct v, t from spans join d using ("row")) group by v),
+told as (select s.*, not (owners > 2 or (owners > 1 and documents > 20)) as live from spans as s join owners using (v) join texts using (v)),
+per as (select "row", count(*) filter (where kind = 0) as n0, count(*) filter (where kind = 1) as n1, count(*) filter (where kind = 2) as n2, {listed("kind < 3")} as base, {listed("kind < 3 or live")} as spans,
+    count(*) filter (where live) as n_live, count(*) filter (where kind < 3 and not live) as n_example from told group by "row")
+select doc_id, coalesce(n0, 0)::bigint as n_assign, coalesce(n1, 0)::bigint as n_access, coalesce(n2, 0)::bigint as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans,
+    coalesce(n_live, 0)::bigint as n_live, coalesce(n_example, 0)::bigint as n_example from d left join per using ("row")"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_suffix_array_dedup": REPEATS_SQL, "op2_substring_dedup": REPEATS_SQL, "op3_mixing": MIXING_SQL, "op10_embedding_dedup": LINKS_SQL}
+    return {"op8_secrets": _secrets_sql(), "op1_suffix_array_dedup": REPEATS_SQL, "op2_substring_dedup": REPEATS_SQL, "op3_mixing": MIXING_SQL, "op10_embedding_dedup": LINKS_SQL}

@@ -193,6 +193,35 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == secrets.redact_secrets(empty).count() == 0
 
 
+def test_secrets_against_brute_force(spark):
+    """Base spans, the spans the method adds, and ownership, on texts in which it adds many."""
+    rng = random.Random(11)
+    keys = ["".join(rng.choice("abcXYZ012+/_-") for _ in range(rng.randrange(18, 40))) for _ in range(25)] + ["AKIA" + "A1B2" * 5, "deadbeef" * 3, "onlylowercaseletters", "ÄÖ" * 12]
+    rows = []
+    for i in range(160):
+        parts = [rng.choice(["x", "é", "token=", "secret: ", "\n", "api_key='", "note"]) + rng.choice([*keys[: 4 + i % 20], keys[i % len(keys)], "w"]) + rng.choice([" ", ", ", "=", ""]) for _ in range(rng.randrange(6))]
+        rows.append((i, "".join(parts) if i % 17 else None, rng.choice(["s1", "s1", "s2", "s3", None])))
+    rows += [(200 + i, f"doc {i} key {keys[0]}", "s1" if i % 2 else "s2") for i in range(30)] + [(7, rows[7][1], "s9"), (None, "token=" + keys[1], None)]
+    kinds = [(re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 12), (re.compile("AKIA[A-Z0-9]+"), 0, 18), (re.compile("[0-9a-f]+"), 0, 16), (re.compile("[A-Za-z0-9+/_-]+"), 0, 20)]
+    spans, seen = [], {}
+    for _, t, source in rows:
+        all_ = [(m.start(), k, m.end(), m[g]) for k, (p, g, least) in enumerate(kinds) for m in p.finditer(t or "") if len(m[g]) >= least]
+        base = [s for s in all_ if s[1] < 3]
+        keyed = [s for s in all_ if s[1] == 3 and all(re.search(c, s[3]) for c in ("[0-9]", "[A-Z]", "[a-z]")) and not any(b[0] < s[2] and s[0] < b[2] for b in base)]
+        spans.append(sorted(base + keyed))
+        for s in spans[-1]:
+            seen.setdefault(s[3], []).append((source, t))
+    example = {v: len({o for o, _ in x}) > 2 or (len({o for o, _ in x}) > 1 and len({t for _, t in x}) > 20) for v, x in seen.items()}
+    want = []
+    for (d, *_), found in zip(rows, spans):
+        shown = [s for s in found if s[1] < 3 or not example[s[3]]]
+        text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in shown)
+        want.append((d, text, sum(not example[s[3]] for s in shown), sum(example[s[3]] for s in found if s[1] < 3)))
+    got = [(r.doc_id, r.spans, r.n_live, r.n_example) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert sum("live" in w[1] for w in want) > 20 and any(w[3] for w in want) and any(not example[v] for v in example)
+
+
 def test_secrets_of_few_owners(spark):
     """One owner's value stays live however often it is repeated, copies of a text count once, and a key may be long."""
     long = "aB" * 150 + "1"
