@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from kvflow.operators.project import fields
-
 #: Binary prefixes and their powers of 1024.
 PREFIXES = "kmgtpe"
 
@@ -17,22 +17,28 @@ def escape(text: Column, char: str = ",", mark: str = "\\") -> Column:
 
 
 def unescape(text: Column, char: str = ",", mark: str = "\\") -> Column:
-    hold = "\x00"
-    return F.replace(F.replace(F.replace(text, F.lit(mark + mark), F.lit(hold)), F.lit(mark + char), F.lit(char)), F.lit(hold), F.lit(mark))
+    """``mark`` before a ``mark`` or ``char`` goes, from left to right; any other character stays, whatever it is."""
+    m, c = re.escape(mark), re.escape(char)
+    return F.regexp_replace(text, f"{m}({m}|{c})", "$1")
 
 
 def split_escaped(text: Column, char: str = ",", mark: str = "\\") -> Column:
     """Parts at unescaped ``char``, without trailing empty ones; escapes stay in the parts."""
-    hold, cut = "\x00", "\x01"
-    masked = F.replace(F.replace(text, F.lit(mark + mark), F.lit(hold)), F.lit(mark + char), F.lit(cut))
-    return F.transform(fields(masked, f"[{char}]"), lambda p: F.replace(F.replace(p, F.lit(cut), F.lit(mark + char)), F.lit(hold), F.lit(mark + mark)))
+    m, c = re.escape(mark), re.escape(char)
+    # a part is any run of escaped characters and of characters other than the separator; a mark may end the text
+    parts = F.regexp_extract_all(text, F.lit(f"(?s)((?:{m}.|[^{c}{m}])*+(?:{m})?)(?:{c}|\\z)"), F.lit(1))
+    last = F.aggregate(F.transform(parts, lambda p, i: F.when(p != "", i + 1).otherwise(0)), F.lit(0), lambda a, i: F.greatest(a, i))
+    return F.slice(parts, 1, last)
 
 
 def split_string(text: Column, separators: str) -> Column:
     """Non-empty tokens between any of the separator characters."""
-    from re import escape as quoted
+    return F.filter(F.split(text, "[" + "".join(map(re.escape, separators)) + "]"), lambda t: t != "")
 
-    return F.filter(F.split(text, "[" + "".join(map(quoted, separators)) + "]"), lambda t: t != "")
+
+def number_of(text: Column, kind: str = "long") -> Column:
+    """A token as a number, null if it is none."""
+    return F.trim(text).try_cast(kind)
 
 
 def bytes_to_hex(data: Column) -> Column:
@@ -50,6 +56,13 @@ def human_readable(n: Column) -> Column:
     return F.when(size < 1 << 10, n.cast("string")).when(size < 1 << 20, shown(10, "k")).when(size < 1 << 30, shown(20, "m")).otherwise(shown(30, "g"))
 
 
+def byte_description(n: Column) -> Column:
+    """``1.46 KB``, ``2 MB``: at most two digits after the point, units by powers of 1024; smaller ones in KB."""
+    size = F.abs(n)
+    unit = F.when(size < 1 << 20, F.struct(F.lit(float(1 << 10)).alias("of"), F.lit(" KB").alias("name"))).when(size < 1 << 30, F.struct(F.lit(float(1 << 20)).alias("of"), F.lit(" MB").alias("name"))).otherwise(F.struct(F.lit(float(1 << 30)).alias("of"), F.lit(" GB").alias("name")))
+    return F.concat(F.regexp_replace(F.format_string("%.2f", n / unit["of"]), r"\.?0+$", ""), unit["name"])
+
+
 def percent(done: Column, digits: int = 0) -> Column:
     return F.format_string(f"%.{digits}f%%", done * 100.0)
 
@@ -67,6 +80,13 @@ def time_difference(ms: Column) -> Column:
     return F.concat(hours, minutes, (s % 60).cast("string"), F.lit("sec"))
 
 
+def format_time(finish_ms: Column, start_ms: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """The finish time, followed by ``(time taken)`` where a start is known; empty without a finish time."""
+    at = F.date_format(F.timestamp_millis(finish_ms.cast("long")), pattern)
+    taken = F.concat(F.lit(" ("), time_difference(F.abs(finish_ms - start_ms)), F.lit(")"))
+    return F.when(finish_ms.isNull() | (finish_ms == 0), "").otherwise(F.concat(at, F.when(start_ms.isNull() | (start_ms == 0), "").otherwise(taken)))
+
+
 def binary_prefix_to_long(text: Column) -> Column:
     """``1k`` is 1024, ``-2m`` is -2097152; null for what is no number."""
     t = F.lower(F.trim(text))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,6 +25,12 @@ def every_nth(df: DataFrame, order: list[str], frequency: int, within: list[str]
     return global_index(df, order, within=within).where((F.col("_i") - 1) % frequency == 0).drop("_i")
 
 
+def every_nth_of_reader(df: DataFrame, frequency: int) -> DataFrame:
+    """Records 0, f, 2f, ... of each input partition, as its reader numbers them: no shuffle."""
+    at = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return df.withColumn("_n", at).where(F.col("_n") % frequency == 0).drop("_n")
+
+
 def md5_long(key: Column) -> Column:
     """First 8 bytes of the digest as a signed big-endian long."""
     return F.conv(F.substring(F.md5(key.cast("string")), 1, 16), 16, -10).cast("long")
@@ -32,27 +40,46 @@ def md5_sample(df: DataFrame, key_col: str, frequency: int) -> DataFrame:
     return df.where(md5_long(F.col(key_col)) % frequency == 0)
 
 
-def bloom_bits(key: Column, bits: int, hashes: int) -> Column:
+def bloom_positions(key: Column, bits: int, hashes: int) -> list[Column]:
     """Bit numbers of a key: double hashing of two hashes, shortened so that their sums never overflow."""
     a, b = F.shiftright(F.xxhash64(key), 2), F.shiftright(F.xxhash64(F.lit("second"), key), 20)
-    return F.array_distinct(F.array(*[F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]))
+    return [F.pmod(a + F.lit(i) * b, F.lit(bits)) for i in range(hashes)]
+
+
+def bloom_bits(key: Column, bits: int, hashes: int) -> Column:
+    return F.array_distinct(F.array(*bloom_positions(key, bits, hashes)))
 
 
 def bloom_filter(keys: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
-    """(bit, n): a counting Bloom filter as a relation; n is the number of distinct keys that set the bit."""
-    return keys.select(F.col(key_col).alias("k")).where("k is not null").distinct().select(F.explode(bloom_bits(F.col("k"), bits, hashes)).alias("bit")).groupBy("bit").agg(F.count("*").alias("n"))
-
-
-def bloom_semi_join(df: DataFrame, key_col: str, keys: DataFrame, other_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
-    """Rows whose key may be among ``keys``: never loses one that is. The filter has at most ``bits`` rows, so its
-    broadcast is bounded whatever the number of keys."""
-    set_bits = bloom_filter(keys, other_col, bits, hashes).agg(F.collect_set("bit").alias("_bits"))
-    mine = df.withColumn("_own", bloom_bits(F.col(key_col), bits, hashes))
-    wanted = F.explode("_own")
-    hit = mine.select(F.col(key_col).alias("_k"), F.size("_own").alias("_n"), wanted.alias("_bit")).distinct()
-    flat = set_bits.select(F.explode("_bits").alias("_bit"))
-    kept = hit.join(F.broadcast(flat), "_bit").groupBy("_k", "_n").agg(F.count("*").alias("_c")).where("_c = _n").select("_k")
-    return df.join(kept, F.col(key_col) == F.col("_k"), "left_semi")
+    """(words): one row, a Bloom filter as an array of ``bits`` / 64 longs."""
+    position = F.explode(F.array(*bloom_positions(F.col("k"), bits, hashes)))
+    hit = keys.select(F.col(key_col).alias("k")).where("k is not null").select(position.alias("bit"))
+    mask = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit").bitwiseAND(F.lit(63)).cast("int"))
+    found = hit.select(F.shiftright("bit", 6).alias("word"), mask.alias("mask")).groupBy("word").agg(F.bit_or("mask").alias("mask"))
+    every = found.unionByName(keys.sparkSession.range(bits // 64).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("mask")))
+    one = every.groupBy("word").agg(F.bit_or("mask").alias("mask")).agg(F.array_sort(F.collect_list(F.struct("word", "mask"))).alias("w"))
+    return one.select(F.transform("w", lambda e: e["mask"]).alias("words"))
+
+
+def might_contain(words: Column, key: Column, bits: int, hashes: int = 4) -> Column:
+    """Whether a key may be among those of a filter: false only if it surely is not. Null keys are never among them."""
+    mask = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    tests = [F.get(words, F.shiftright(at, 6).cast("int")).bitwiseAND(mask(at)) != 0 for at in bloom_positions(key, bits, hashes)]
+    return key.isNotNull() & reduce(lambda a, b: a & b, tests)
+
+
+def bloom_semi_join(df: DataFrame, key_col: str, keys: DataFrame, other_col: str, bits: int | None = None, hashes: int = 4, most_bits: int = 1 << 26) -> DataFrame:
+    """Rows whose key may be among ``keys``: never loses one that is, and lets about 2 % of the others pass.
+
+    The filter is one bitmap of ten bits a distinct key (counted approximately), tested in a projection: no row is
+    shuffled. It has at most ``most_bits`` bits (8 MB); more keys than that are joined exactly instead."""
+    if bits is None:
+        n = keys.agg(F.approx_count_distinct(other_col).alias("n")).first()["n"]
+        bits = max(1 << 10, 1 << (10 * n - 1).bit_length()) if n else 1 << 10
+        if bits > most_bits:
+            return df.join(keys.select(F.col(other_col).alias(key_col)), key_col, "left_semi").select(*df.columns)
+    words = bloom_filter(keys, other_col, bits, hashes).scalar()
+    return df.where(might_contain(words, F.col(key_col), bits, hashes))
 
 
 def counting_filter(keys: DataFrame, key_col: str, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:

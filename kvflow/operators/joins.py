@@ -45,6 +45,11 @@ def present(joined: DataFrame, condition: Callable[[dict[str, Column]], Column])
     return joined.where(condition(flags))
 
 
+def semi(key: str, left: DataFrame, right: DataFrame, absent: bool = False) -> DataFrame:
+    """Rows of the left source whose key the right one has (``absent``: lacks): presence without the other side's rows."""
+    return left.where(F.col(key).isNotNull()).join(right.select(key), key, "left_anti" if absent else "left_semi")
+
+
 class JoinExpression:
     """``op(tbl(name), op(...), ...)`` with inner, outer, override and registered operators, over named sources."""
 
@@ -112,9 +117,19 @@ def tagged_join(left: DataFrame, right: DataFrame, key: str, combine: Callable[[
     return joined.select("key", combine(F.col("l"), F.col("r")).alias("value")).where("value is not null")
 
 
-def replicated_join(df: DataFrame, small: DataFrame, key: str, how: str = "inner", most_rows: int = 200_000) -> DataFrame:
-    """A join with a side that is sent to every task if it has at most ``most_rows`` rows, else a shuffled one."""
-    fits = small.limit(most_rows + 1).count() <= most_rows
+def tagged_join_many(key: str, combine: Callable[[dict[str, Column]], Column], **tags: DataFrame) -> DataFrame:
+    """(key, value): ``combine`` of one row of each tag, for every choice of rows of a group (null for a tag without
+    rows); null results are dropped."""
+    joined = outer(key, **tags)
+    return joined.select("key", combine({t: F.col(t) for t in tags}).alias("value")).where("value is not null")
+
+
+def replicated_join(df: DataFrame, small: DataFrame, key: str, how: str = "inner", most_rows: int = 200_000, most_bytes: int = 64 << 20) -> DataFrame:
+    """A join with a side that is sent to every task if it has at most ``most_rows`` rows and about ``most_bytes`` bytes
+    as text, else a shuffled one."""
+    size = F.sum(F.octet_length(F.to_json(F.struct(*small.columns))))
+    measured = small.limit(most_rows + 1).agg(F.count("*").alias("n"), F.coalesce(size, F.lit(0)).alias("size")).first()
+    fits = measured["n"] <= most_rows and measured["size"] <= most_bytes
     return df.join(F.broadcast(small) if fits else small.hint("merge"), key, how)
 
 

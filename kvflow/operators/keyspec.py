@@ -51,6 +51,13 @@ def region(key: Column, k: KeySpec, separator: str = "\t") -> Column:
     return F.when(F.size(parts) >= k.field, text)
 
 
+def region_number(key: Column, k: KeySpec, separator: str = "\t") -> Column:
+    """The number that the region begins with, 0 without one, null if the first field is missing."""
+    c = region(key, k, separator)
+    number = F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(-?[0-9]*(?:\.[0-9]*)?)", 1)
+    return F.when(c.isNotNull(), F.coalesce(F.nullif(number, F.lit("")).try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)")))
+
+
 def sort_columns(key: Column, spec: str, separator: str = "\t") -> list[Column]:
     """Order-by columns; no spec: the whole key. A missing region sorts first (last under ``r``)."""
     specs = parse(spec)
@@ -60,8 +67,7 @@ def sort_columns(key: Column, spec: str, separator: str = "\t") -> list[Column]:
     for k in specs:
         c = region(key, k, separator)
         if k.numeric:
-            number = F.regexp_extract(F.coalesce(c, F.lit("")), r"^\s*(-?[0-9]*(?:\.[0-9]*)?)", 1)
-            c = F.when(c.isNotNull(), F.coalesce(F.expr("null").cast("decimal(38,18)"), F.nullif(number, F.lit("")).try_cast("decimal(38,18)"), F.lit(0).cast("decimal(38,18)")))
+            c = region_number(key, k, separator)
         out.append(c.desc_nulls_last() if k.reverse else c.asc_nulls_first())
     return out
 

@@ -117,32 +117,51 @@ def placements(width: int, height: int, pieces: dict[str, list[str]]) -> dict[st
     return out
 
 
-def pentomino_tilings(spark: SparkSession, width: int, height: int, pieces: str = "FILNPTUVWXYZ", tasks: int = 32) -> DataFrame:
-    """(first, solution): all tilings of a board, one search per placement of the first piece."""
-    rows = placements(width, height, {p: PENTOMINOES[p] for p in pieces})
-    columns = {c for cells in rows.values() for c in cells}
-    firsts = [(r,) for r in sorted(rows) if r.startswith(pieces[0] + " ")]
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for first in b.column(0).to_pylist():
-                left = {r: c for r, c in rows.items() if not c & rows[first]}
-                out += [(first, "; ".join(sorted([first, *s]))) for s in exact_cover(left, columns - rows[first])]
-            a, s = zip(*out) if out else ((), ())
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(s, pa.string())], names=["first", "solution"])
+def placement_masks(width: int, height: int, pieces: str) -> list[tuple[int, int, int, str]]:
+    """(first cell, cells, piece, name) of every placement, cells and pieces as bits; cells are numbered along the
+    shorter side, which keeps the search narrow."""
+    short = min(width, height)
+    number = lambda y, x: (y * width + x) if width == short else (x * height + y)
+    out = []
+    for name, cells in placements(width, height, {p: PENTOMINOES[p] for p in pieces}).items():
+        mask = sum(1 << number(*c) for c in cells if isinstance(c, tuple))
+        out.append((mask & -mask, mask, 1 << pieces.index(name[0]), name))
+    return sorted(out)
 
-    starts = spark.createDataFrame(firsts, "first string").repartition(tasks)
-    return starts.mapInArrow(work, "first string, solution string")
 
-
-def fixed_rows(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
+def pentomino_tilings(spark: SparkSession, width: int, height: int, pieces: str = "FILNPTUVWXYZ", tasks: int = 32) -> DataFrame:
+    """(solution): every tiling of a board of at most 63 cells with each piece once, as placements in the order of their
+    first cells. Partial boards are rows: each round fills the first free cell of each by a join with the placements
+    that begin there (a table bounded by the board); now and then the boards are dealt to ``tasks`` tasks."""
+    if width * height != 5 * len(pieces) or width * height > 63:
+        raise ValueError("the pieces do not fill the board")
+    known = F.broadcast(spark.createDataFrame(placement_masks(width, height, pieces), "first long, cells long, piece long, name string"))
+    boards = spark.range(1).select(F.lit(0).cast("long").alias("filled"), F.lit(0).cast("long").alias("used"), F.lit("").alias("solution"))
+    for turn in range(len(pieces)):
+        free = F.bitwise_not("filled").bitwiseAND(F.col("filled") + 1)
+        fits = (F.col("filled").bitwiseAND(F.col("cells")) == 0) & (F.col("used").bitwiseAND(F.col("piece")) == 0)
+        joined = boards.withColumn("first", free).join(known, "first").where(fits)
+        boards = joined.select(F.col("filled").bitwiseOR(F.col("cells")).alias("filled"), F.col("used").bitwiseOR(F.col("piece")).alias("used"), F.concat("solution", F.lit("; " if turn else ""), "name").alias("solution"))
+        boards = boards.repartition(tasks) if turn % 3 == 1 else boards  # short stages compile well
+    return boards.select("solution")
+
+
+def tera_rows(spark: SparkSession, n: int) -> DataFrame:
     """(key, row_id, filler): n rows of a 10-character printable key, a 10-character number and 78 filler letters."""
-    key = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.char((F.pmod(F.xxhash64(F.col("id"), i, F.lit(seed)), F.lit(95)) + 32).cast("int"))), "")
+    digest = F.md5(F.col("id").cast("string"))
+    byte = lambda i: F.conv(F.substring(digest, 2 * i + 1, 2), 16, 10).cast("int")
+    key = F.concat(*[F.char(byte(i) % 95 + 32) for i in range(10)])
     letters = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.repeat(F.char((F.pmod(F.col("id") * 8 + i, F.lit(26)) + 65).cast("int")), 10)), "")
     return spark.range(n).select(key.alias("key"), F.lpad(F.col("id").cast("string"), 10, " ").alias("row_id"), F.substring(letters, 1, 78).alias("filler"))
 
 
+def random_bytes(spark: SparkSession, n: int, least: int, most: int, seed: int = 0) -> DataFrame:
+    """(key, value): byte strings of ``least`` to ``most`` bytes, reproducible by seed."""
+    count = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(most - least + 1)).cast("int") + least
+    blocks = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(count / 32).cast("int")), lambda i: F.sha2(F.concat_ws(":", F.col("id").cast("string"), i.cast("string"), F.lit(str(seed))), 256)), "")
+    return spark.range(n).select(F.col("id").alias("key"), F.unhex(F.substring(blocks, F.lit(1), 2 * count)).alias("value"))
+
+
 def random_text(spark: SparkSession, n: int, words: list[str], least: int, most: int, seed: int = 0) -> DataFrame:
     """(key, value): word sequences of ``least`` to ``most`` words, reproducible by seed."""
     count = F.pmod(F.xxhash64(F.col("id"), F.lit(seed)), F.lit(most - least + 1)).cast("int") + least

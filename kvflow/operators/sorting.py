@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .partition import global_index
+
 
 def total_sort(df: DataFrame, *order: Column | str) -> DataFrame:
     """Range partitioned and sorted: partition i precedes partition i + 1."""
@@ -22,15 +24,26 @@ def partition_sort(df: DataFrame, keys: list[str], order: list[str], partitions:
 
 def secondary_sort(df: DataFrame, first: str, order: list[Column | str]) -> DataFrame:
     """``rank``: place of each row within its first key, in the given order."""
-    return df.withColumn("rank", F.row_number().over(W.partitionBy(first).orderBy(*order)))
+    return global_index(df, order, [first]).withColumnRenamed("_i", "rank")
+
+
+def sort_with(df: DataFrame, *rules: Column) -> DataFrame:
+    """A comparator of one's own: ``place`` of each row by the rules in turn, each an expression that sorts."""
+    named = [r.alias(f"_r{i}") for i, r in enumerate(rules)]
+    indexed = global_index(df.select("*", *named), [f"_r{i}" for i in range(len(rules))])
+    return indexed.withColumnRenamed("_i", "place").drop(*[f"_r{i}" for i in range(len(rules))])
 
 
 def by_frequency(df: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """Distinct keys by falling count, ties by key."""
-    counted = df.groupBy(key).agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), F.col(key))
+    counted = frequencies(df, key).orderBy(F.col("n").desc(), F.col(key))
     return counted if limit is None else counted.limit(limit)
 
 
+def frequencies(df: DataFrame, key: str) -> DataFrame:
+    return df.groupBy(key).agg(F.count("*").alias("n"))
+
+
 def log_sort(df: DataFrame, line_col: str, columns: list[int], separator: str) -> DataFrame:
     """Lines in lexical order of the chosen 0-based columns."""
     parts = F.split(F.col(line_col), re.escape(separator))

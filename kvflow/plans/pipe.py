@@ -63,9 +63,26 @@ def subprocess_lines(command: str | list[str], env: dict[str, str] | None = None
     return run
 
 
+def command_output(df: DataFrame, line_col: str, command: str | list[str], **options) -> DataFrame:
+    """(kind, line): the output lines of a command and what it counted, from one run."""
+    return df.select(F.col(line_col).cast("string")).mapInArrow(subprocess_lines(command, **options), "kind string, line string")
+
+
+def command_counters(output: DataFrame) -> DataFrame:
+    """(counter_group, counter, n): the counters in :func:`command_output`, summed over all processes."""
+    each = output.where("kind = 'counter'")
+    parts = F.split("line", ",")
+    return each.groupBy(parts[0].alias("counter_group"), parts[1].alias("counter")).agg(F.sum(parts[2].cast("long")).alias("n"))
+
+
 def map_command(df: DataFrame, line_col: str, command: str | list[str], key_fields: int = 1, separator: str = "\t", **options) -> DataFrame:
     """(key, value) of a streaming mapper's output lines; the first ``key_fields`` fields are the key."""
-    out = df.select(F.col(line_col).cast("string")).mapInArrow(subprocess_lines(command, **options), "kind string, line string").where("kind = 'line'")
+    return command_pairs(command_output(df, line_col, command, **options), key_fields, separator)
+
+
+def command_pairs(output: DataFrame, key_fields: int = 1, separator: str = "\t") -> DataFrame:
+    """(key, value) of the lines in :func:`command_output`."""
+    out = output.where("kind = 'line'")
     if key_fields == 1:
         key, value = split_first(F.col("line"), separator)
     else:
@@ -75,7 +92,8 @@ def map_command(df: DataFrame, line_col: str, command: str | list[str], key_fiel
 
 
 def reduce_command(pairs: DataFrame, command: str | list[str], separator: str = "\t", **options) -> DataFrame:
-    """(key, value): a streaming reducer; each process sees its keys together and in order."""
+    """(key, value): a streaming reducer; each process sees its keys together and in order, so a key's rows go through one
+    process, line by line."""
     lines = pairs.repartition("key").sortWithinPartitions("key", "value").select(F.concat_ws(separator, "key", "value").alias("line"))
     return map_command(lines, "line", command, separator=separator, **options)
 
@@ -85,6 +103,54 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
     return df.mapInArrow(lambda batches: map(function, batches), schema)
 
 
+def threaded_map(df: DataFrame, function: Callable[[dict], dict], schema: str, threads: int = 10) -> DataFrame:
+    """A map of rows by several threads a task, for functions that wait on something else; rows keep their order."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from concurrent.futures import ThreadPoolExecutor
+
+        with ThreadPoolExecutor(threads) as pool:
+            for b in batches:
+                yield pa.RecordBatch.from_pylist(list(pool.map(function, b.to_pylist())), schema=kind)
+
+    return df.mapInArrow(work, schema)
+
+
+def arrow_reduce(df: DataFrame, keys: list[str], function: Callable[[pa.Table], pa.Table], schema: str) -> DataFrame:
+    """A general reducer: a function of the rows of each key, which must fit in a task."""
+    return df.groupBy(*keys).applyInArrow(function, schema)
+
+
+def user_aggregate(df: DataFrame, keys: list[str], partial: Callable[[pa.Table], pa.Table], merge: Callable[[pa.Table], pa.Table], schema: str, partial_schema: str) -> DataFrame:
+    """An aggregate of one's own by decomposition: ``partial`` folds each batch before the shuffle, ``merge`` the few
+    folds of a key, so a key may have any number of rows."""
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield from partial(pa.Table.from_batches([b])).to_batches()
+
+    return df.mapInArrow(fold, partial_schema).groupBy(*keys).applyInArrow(merge, schema)
+
+
+def user_table(df: DataFrame, columns: list[str], function: Callable[..., Iterator[tuple]], schema: str) -> DataFrame:
+    """A table function of one's own: any number of rows for each input row."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    kind = to_arrow_schema(StructType.fromDDL(schema))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [dict(zip(kind.names, out)) for r in zip(*(c.to_pylist() for c in b.columns)) for out in function(*r)]
+            yield pa.RecordBatch.from_pylist(rows, schema=kind)
+
+    return df.select(*columns).mapInArrow(work, schema)
+
+
 def on_device(df: DataFrame, function: Callable, schema: str, resource: str | None = None, amount: int = 1) -> DataFrame:
     """An Arrow map under a resource profile that asks for a device, if one is named; the results are the same."""
     if resource is None:

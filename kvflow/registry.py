@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kvflow.plans import file_queries  # noqa: F401  (registers its queries)
 from kvflow.plans.queries import QUERIES, SQL
 
 

@@ -6,6 +6,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -15,10 +16,10 @@ from kvflow.operators.project import document_operations, split_first
 
 
 def text_lines(spark: SparkSession, paths: str | list[str], max_length: int | None = None, glob: str | None = None) -> DataFrame:
-    """(value, file): lines ended by LF, CR or CRLF; longer ones than ``max_length`` are left out."""
+    """(value, file): lines ended by LF, CR or CRLF; longer ones than ``max_length`` bytes are left out."""
     reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
     df = reader.text(paths).select("value", F.input_file_name().alias("file"))
-    return df if max_length is None else df.where(F.length("value") <= max_length)
+    return df if max_length is None else df.where(F.octet_length("value") <= max_length)
 
 
 def key_value_lines(spark: SparkSession, paths: str | list[str], separator: str = "\t") -> DataFrame:
@@ -26,13 +27,14 @@ def key_value_lines(spark: SparkSession, paths: str | list[str], separator: str
     return spark.read.text(paths).select(key.alias("key"), value.alias("value"))
 
 
-def sequence_file(spark: SparkSession, path: str, as_text: bool = False) -> DataFrame:
-    """(key, value) of a typed binary key/value file; ``as_text`` turns both into strings."""
+def sequence_file(spark: SparkSession, path: str, as_text: bool = False, schema: str | None = None) -> DataFrame:
+    """(key, value) of a typed binary key/value file, of ``schema`` or inferred types; ``as_text`` makes both strings.
+    Spark reads such files as records only, so this is row by row: Parquet is the better store."""
     rows = spark.sparkContext.sequenceFile(path)
     if as_text:
         rows = rows.map(lambda kv: (str(kv[0]), str(kv[1])))
         return spark.createDataFrame(rows, "key string, value string")
-    return spark.createDataFrame(rows, ["key", "value"])
+    return spark.createDataFrame(rows, schema or ["key", "value"])
 
 
 def sequence_file_binary(spark: SparkSession, path: str) -> DataFrame:
@@ -41,6 +43,18 @@ def sequence_file_binary(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(spark.sparkContext.sequenceFile(path).map(lambda kv: (octets(kv[0]), octets(kv[1]))), "key binary, value binary")
 
 
+def output_files(spark: SparkSession, path: str) -> list[str]:
+    """The data files of a job's output folder: what is hidden (logs, markers, work in progress) is left out."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    return sorted(str(f.getPath()) for f in found if not f.getPath().getName().startswith(("_", ".")))
+
+
+def map_probably_has(spark: SparkSession, path: str, key_col: str, key) -> bool:
+    """Whether a map may hold a key: row groups whose Bloom filter and statistics rule it out are not read."""
+    return not map_get(spark.read.parquet(path).select(key_col), key_col, key).limit(1).isEmpty()
+
+
 def n_line_splits(df: DataFrame, lines: int, order: list[str]) -> DataFrame:
     """``split``: number of the split of every ``lines`` consecutive records."""
     from kvflow.operators.partition import global_index
@@ -63,8 +77,9 @@ def packed_files(spark: SparkSession, pools: list[list[str]], fmt: str = "text")
 
 
 def fixed_width(spark: SparkSession, paths: str | list[str], key_length: int = 10) -> DataFrame:
-    """Key and value of fixed-width lines."""
-    return spark.read.text(paths).select(F.substring("value", 1, key_length).alias("key"), F.substring("value", key_length + 1, 1 << 30).alias("value"))
+    """Key (the first ``key_length`` bytes) and value of fixed-width lines."""
+    octets = F.col("value").cast("binary")
+    return spark.read.text(paths).select(F.substring(octets, 1, key_length).cast("string").alias("key"), F.substring(octets, key_length + 1, 1 << 30).cast("string").alias("value"))
 
 
 def row_range(spark: SparkSession, rows: int, splits: int | None = None) -> DataFrame:
@@ -161,8 +176,9 @@ def python_source(spark: SparkSession, splits: list[str], read: Callable[[str],
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for s in b.column(0).to_pylist():
-                rows = list(read(s))
-                yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in rows], schema=arrow)
+                rows = iter(read(s))
+                while part := list(islice(rows, 4096)):
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in part], schema=arrow)
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -38,9 +38,9 @@ def discard(df: DataFrame) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def write_by(df: DataFrame, path: str, leaf: Column, fmt: str = "parquet", mode: str = "errorifexists") -> None:
-    """Rows to sub-folders by an expression of the row."""
-    df.withColumn("leaf", leaf).write.mode(mode).partitionBy("leaf").format(fmt).save(path)
+def write_by(df: DataFrame, path: str, leaf: Column, fmt: str = "parquet", mode: str = "errorifexists", keep: list[Column] | None = None) -> None:
+    """Rows to sub-folders by an expression of the row; ``keep`` rewrites what is written of each."""
+    df.select(*(["*"] if keep is None else keep), leaf.alias("leaf")).write.mode(mode).partitionBy("leaf").format(fmt).save(path)
 
 
 def trailing_legs(path: Column, legs: int) -> Column:

@@ -1,4 +1,4 @@
-"""Golden cases of the operators, by value."""
+"""Golden cases of the operators, by value. Inputs and expected results marked as fixed values are those of FIXTURES.md."""
 
 import pytest
 from pyspark.sql import functions as F
@@ -16,12 +16,14 @@ def lines(spark, *rows):
 
 
 def test_field_selection(spark):
+    # FIXTURES.md F1, a line and two field specs.
     f = [f"{i:04d}" for i in range(7)]
     got = project.field_select(lines(spark, "-".join(f)), "value", "6,5,1-3:0-", ":4,3,2,1,0,0-").first()
     want = [f[3], f[2], f[1], f[5], f[6], f[6], f[5], f[1], f[2], f[3], *f]
     assert got.key is None and got.value == "-".join(want)
 
 
+# FIXTURES.md F2, two lines and which of them comes first.
 LINE1 = "123 -123 005120 123.9 0.01 0.18 010 10.0 4444.1 011 011 234"
 LINE2 = "134 -12 005100 123.10 -1.01 0.19 02 10.1 4444"
 SPECS = [("-k1,1n", 1), ("-k2,2n", 1), ("-k2.2,2n", 2), ("-k3.4,3n", 2), ("-k3.2,3.3n -k4,4n", 2), ("-k3.2,3.3n -k4,4nr", 1), ("-k2.4,2.4n", 2), ("-k7,7", 1), ("-k7,7n", 2), ("-k8,8n", 1), ("-k9,9", 2), ("-k11,11", 2), ("-k10,10", 2)]
@@ -69,6 +71,7 @@ def test_joins(spark):
 
 
 def test_tagged_join(spark):
+    # FIXTURES.md F6, two tagged tables and their join.
     a = spark.createDataFrame([("A.a11", "A.a12"), ("A.a21", "A.a22"), ("B.a21", "A.a32"), ("A.a31", "A.a32"), ("B.a31", "A.a32"), (None, "x")], "k string, v string")
     b = spark.createDataFrame([("A.a11", "B.a12"), ("A.a11", "B.a13"), ("B.a11", "B.a12"), ("B.a21", "B.a22"), ("A.a31", "B.a32"), ("B.a31", "B.a32"), (None, "y")], "k string, v string")
     both = lambda l, r: F.when(l.isNotNull() & r.isNotNull(), F.concat_ws("\t", "key", l["v"], r["v"]))
@@ -78,6 +81,7 @@ def test_tagged_join(spark):
 
 
 def test_range_partition(spark):
+    # FIXTURES.md F7, cut points and the range of each key.
     cuts = ["aabbb", "babbb", "daddd", "dddee", "ddhee", "dingo", "hijjj", "n", "yak"]
     want = {"aaaaa": 0, "aaabb": 0, "aabbb": 1, "babbb": 2, "baabb": 1, "yai": 8, "yak": 9, "z": 9, "ddngo": 5, "hi": 6}
     got = lines(spark, *want).select("value", partition.range_of(F.col("value"), cuts).alias("p")).collect()
@@ -104,6 +108,8 @@ def test_order_validation(spark):
     df = spark.createDataFrame([(0, 1, 1), (0, 2, 3), (0, 3, 2), (1, 1, 2), (1, 2, 9)], "part int, pos int, key int")
     got = {(r.kind, r.part) for r in sorting.validate_order(df, "key", F.col("part"), F.col("pos")).collect()}
     assert got == {("misorder", 0)}
+    both = sorting.validate_order(spark.createDataFrame([(0, 1, 1), (0, 2, 5), (0, 3, 4), (1, 1, 2), (1, 2, 9)], "part int, pos int, key int"), "key", F.col("part"), F.col("pos"))
+    assert sorted(r.kind for r in both.collect()) == ["bad split", "misorder"]
     worse = df.where("pos <> 3")
     assert {(r.kind, r.part) for r in sorting.validate_order(worse, "key", F.col("part"), F.col("pos")).collect()} == {("bad split", 1)}
 
@@ -125,7 +131,13 @@ def test_matrices(spark):
 
 def test_strings(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
-    assert one(strings.unescape(strings.escape(F.lit("a,b\\c")))) == "a,b\\c"
+    for text in ("a,b\\c", "a\x00b\x01,c", ",,\\\\,", ""):
+        assert one(strings.unescape(strings.escape(F.lit(text)))) == text
+    assert one(strings.unescape(F.lit("a\x00b\\,"))) == "a\x00b," and one(strings.split_escaped(F.lit("a\x01b,c"))) == ["a\x01b", "c"]
+    assert one(strings.split_escaped(F.lit("a\\\\,b\\,\\"))) == ["a\\\\", "b\\,\\"] and one(strings.split_escaped(F.lit(",,a,,"))) == ["", "", "a"] and one(strings.split_escaped(F.lit(""))) == []
+    assert [one(strings.byte_description(F.lit(n))) for n in (512, 1500, 2 << 20, 3 << 30)] == ["0.5 KB", "1.46 KB", "2 MB", "3 GB"]
+    assert [one(strings.format_time(F.lit(a), F.lit(b))) for a, b in ((1_000, 0), (61_000, 1_000), (0, 5))] == ["1970-01-01 00:00:01", "1970-01-01 00:01:01 (1mins, 0sec)", ""]
+    assert one(strings.number_of(F.lit(" 12 "))) == 12 and one(strings.number_of(F.lit("x"))) is None
     assert one(strings.split_escaped(F.lit("a\\,b,c,,"))) == ["a\\,b", "c"]
     assert one(strings.split_string(F.lit("a, b,,c"), ", ")) == ["a", "b", "c"]
     assert [one(strings.binary_prefix_to_long(F.lit(t))) for t in ("1k", "-2m", "7", "x", "1g")] == [1024, -(2 << 20), 7, None, 1 << 30]
@@ -194,7 +206,7 @@ def test_job_graph():
 
 def test_search_and_index(spark):
     assert abs(search.pi_estimate(spark, 20_000).first().pi - 3.1428) < 1e-9
-    assert search.fixed_rows(spark, 5).where("length(key) = 10 and length(row_id) = 10 and length(filler) = 78").count() == 5
+    assert search.tera_rows(spark, 5).where("length(key) = 10 and length(row_id) = 10 and length(filler) = 78").count() == 5
     assert search.random_text(spark, 20, ["a", "b"], 2, 4, 1).where("size(split(value, ' ')) between 2 and 4").count() == 20
     log = indexing.parse_logs(lines(spark, "2024-01-02 03:04:05,678 WARN a.B: from 10.0.0.1 x", "junk"), "value", anonymise=True).collect()
     assert (log[0].level, log[0].message) == ("WARN", "from <ip> x") and log[1].message == "junk"
@@ -233,8 +245,84 @@ def test_bloom_filters(spark):
     for scheme in ("fewest_lost", "most_cleared", "ratio", "random"):
         less = filters.retouched_filter(counted, wrong, "k", 4096, scheme=scheme)
         assert filters.approximate_counts(wrong, "k", less, 4096).where("n > 0").count() == 0
-    # hashes near the ends of the range of a long must not overflow
-    assert filters.bloom_filter(spark.range(200_000), "id", 64).count() == 64
+    # hashes near the ends of the range of a long must not overflow; the bitmap is as SQL's own bits say
+    assert filters.bloom_filter(spark.range(200_000), "id", 64).first().words == [-1]
+    bits = {r.bit for r in keys.where("k is not null").select(F.explode(filters.bloom_bits(F.col("k"), 4096, 4)).alias("bit")).collect()}
+    words = filters.bloom_filter(keys, "k", 4096).first().words
+    assert {64 * i + b for i, w in enumerate(words) for b in range(64) if w >> b & 1} == bits and len(words) == 64
+    asked = spark.range(3000).select(F.col("id").cast("int").alias("k")).unionByName(keys.where("k is null"))
+    kept = {r.k for r in filters.bloom_semi_join(asked, "k", keys, "k").collect()}
+    assert kept >= set(range(50)) and None not in kept and len(kept) < 200
+    plan = filters.bloom_semi_join(asked, "k", keys, "k")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    assert {r.k for r in filters.bloom_semi_join(asked, "k", keys, "k", most_bits=64).collect()} == set(range(50))
+
+
+def test_sums_wrap(spark):
+    rows = spark.createDataFrame([((1 << 63) - 1,), (1,), (5,), (None,)], "v long")
+    got = G.dynamic_aggregates(rows, F.array(G.emit(G.LONG_SUM, "s", F.col("v"))), kinds={G.LONG_SUM}).collect()
+    assert [r.result for r in got] == [str(-(1 << 63) + 5)]
+
+
+def test_aggregates_read_once(spark, tmp_path):
+    spark.range(100).selectExpr("id", "cast(id % 7 as string) s").write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    every = F.array(G.emit(G.LONG_SUM, "a", F.col("id")), G.emit(G.STRING_MAX, "b", F.col("s")), G.emit(G.UNIQUE_COUNT, "c", F.col("s")), G.emit(G.HISTOGRAM, "d", F.col("s")))
+    out = G.dynamic_aggregates(df, every)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+    assert {(r.id, r.result.split("\t")[0]) for r in out.collect()} == {("a", "4950"), ("b", "6"), ("c", "7"), ("d", "7")}
+
+
+def test_numbers_within_groups(spark):
+    rows = spark.range(300).select((F.col("id") % 3).alias("g"), "id").withColumn("g", F.when(F.col("g") < 2, F.col("g")))
+    got = partition.global_index(rows, ["id"], within=["g"]).collect()
+    for g in (0, 1, None):
+        mine = sorted((r.id, r._i) for r in got if r.g == g)
+        assert [i for _, i in mine] == list(range(1, 101))
+    run = partition.running_total(rows, ["id"], "id").collect()
+    assert [r._run for r in sorted(run, key=lambda r: r.id)] == [n * (n + 1) // 2 for n in range(300)]
+
+
+def test_every_nth_of_a_reader(spark):
+    assert filters.every_nth_of_reader(spark.range(0, 100, 1, 4), 10).count() == 12
+    assert "Exchange" not in filters.every_nth_of_reader(spark.range(0, 100, 1, 4), 10)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kmeans_settles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    points = np.concatenate([rng.normal((0, 0), 3, (80, 2)), rng.normal((30, 5), 4, (80, 2)), rng.normal((10, 40), 2, (80, 2))])
+    now = start = np.array([(1.0, 1.0), (5.0, 5.0), (9.0, 9.0)])
+    for _ in range(100):
+        at = ((points[:, None] - now[None]) ** 2).sum(2).argmin(1)
+        new = np.array([points[at == k].mean(0) for k in range(3)])
+        moved, now = np.hypot(*(new - now).T).max(), new
+        if moved <= 1.0:
+            break
+    df = spark.createDataFrame([tuple(map(float, p)) for p in points], "x double, y double")
+    got = kmeans.kmeans(df, ["x", "y"], [tuple(c) for c in start]).orderBy("cluster").collect()
+    assert np.allclose([(r.x, r.y) for r in got], now)
+
+
+def test_database(spark, tmp_path):
+    """A table written to and read from a database, with conditions, fields and a parallel read."""
+    url = f"jdbc:derby:{tmp_path}/db;create=true"
+    rows = spark.range(100).select(F.col("id").alias("k"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("name"))
+    options = {"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"}
+    writers.write_jdbc(rows, url, "pages", **options)
+    writers.write_jdbc(rows.where("k < 5"), url, "pages", ["k", "name"], **options)
+    assert readers.jdbc_table(spark, url, "pages", **options).count() == 105
+    some = readers.jdbc_table(spark, url, "pages", ["name"], "k >= 95", ("k", 0, 100, 4), **options)
+    assert some.columns == ["name"] and sorted(r[0] for r in some.collect()) == [f"n{i}" for i in range(95, 100)] and some.rdd.getNumPartitions() == 4
+    assert readers.jdbc_query(spark, url, "select count(*) as n from pages", **options).first()[0] == 105
+
+
+def test_output_files(spark, tmp_path):
+    spark.range(3).selectExpr("cast(id as string) value").coalesce(1).write.text(f"{tmp_path}/o")
+    (tmp_path / "o" / "_logs").mkdir()
+    found = readers.output_files(spark, f"{tmp_path}/o")
+    assert len(found) == 1 and found[0].endswith(".txt")
 
 
 def test_key_match_is_whole(spark):
