@@ -48,9 +48,13 @@ def unique_capped(df: DataFrame, keys: list[str], value: str, cap: int) -> DataF
 
 
 def wrapping_sum(value: Column) -> Column:
-    """A sum of longs modulo 2**64, as two's complement addition gives it."""
-    shift, turn = F.lit(str(1 << 63)).cast("decimal(38,0)"), F.lit(str(1 << 64)).cast("decimal(38,0)")
-    return (F.pmod(F.sum(value.cast("decimal(20,0)")).cast("decimal(38,0)") + shift, turn) - shift).cast("long")
+    """A sum of longs modulo 2**64, as two's complement addition gives it: 22 low, 22 middle and 20 high bits are summed
+    apart, which no number of rows overflows, and carried over at the end."""
+    mask = F.lit((1 << 22) - 1).cast("long")
+    low, middle, high = F.sum(value.bitwiseAND(mask)), F.sum(F.shiftright(value, 22).bitwiseAND(mask)), F.sum(F.shiftright(value, 44))
+    middle = middle + F.shiftright(low, 22)
+    high = high + F.shiftright(middle, 22)
+    return F.shiftleft(high, 44).bitwiseOR(F.shiftleft(middle.bitwiseAND(mask), 22)).bitwiseOR(low.bitwiseAND(mask))
 
 
 def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None = None, kinds: set[str] | None = None) -> DataFrame:

@@ -262,13 +262,12 @@ def comparator_sort(spark, d):
     return sorting.sort_with(table(spark, d, "part").select("p_partkey", "p_name"), -F.length("p_name"), F.reverse("p_name"), F.col("p_partkey")).select("p_partkey", F.col("place").cast("long").alias("place"))
 
 
-@query("""with n as (select count(*) as n, greatest(1, ceil(count(*) / 100000.0))::bigint as f from orders), s as (select o_totalprice as v from orders, n where n.f = 1),
+@query(f"""with n as (select greatest(1, ceil(count(*) / 100000.0))::bigint as f from orders), s as (select v from (select o_totalprice as v, ('0x' || substr(md5(o_totalprice::varchar), 1, 16))::ubigint as u from orders), n where ({MD5_SQL}) % f = 0),
     u as (select v, sum(count(*)) over (order by v) as upto, count(*) as c from s group by v), q as (select i, (2 * (select count(*) from s) * i + 8) // 16 as q from (select unnest(range(1, 8)) as i)),
     cuts as (select distinct min(v) as cut from q join u on u.upto > q.q group by i)
     select (select count(*) from cuts where cut <= o_totalprice)::int as part, count(*)::bigint as n, min(o_totalprice) as lo, max(o_totalprice) as hi from orders group by 1""")
 def sampled_range_sort(spark, d):
-    """Cut points from a sample of the keys, rows dealt by them: the ranges in order are the sorted whole. (The SQL has
-    the cut points of a sample that holds every key, as it does up to 100,000 rows.)"""
+    """Cut points from a sample of the keys, rows dealt by them: the ranges in order are the sorted whole."""
     orders = table(spark, d, "orders").select("o_totalprice")
     part = partition.range_of(F.col("o_totalprice"), partition.sampled_cuts(orders, "o_totalprice", 8))
     return orders.groupBy(part.alias("part")).agg(F.count("*").alias("n"), F.min("o_totalprice").alias("lo"), F.max("o_totalprice").alias("hi"))
@@ -388,7 +387,7 @@ def kmeans_2d(spark, d):
     return kmeans.kmeans(points, ["x", "y"], START_2D).where("n > 0").select("cluster", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"), "n")
 
 
-LINES_1D = "select o_custkey as g, o_orderkey, (o_totalprice / 1000)::int as p from orders"
+LINES_1D = "select o_custkey as g, o_orderkey, floor(o_totalprice / 1000)::int as p from orders"
 
 
 @query(f"""with p as ({LINES_1D}), o as (select g, p, row_number() over (partition by g order by o_orderkey) as id from p), line as (select g, '2 ' || count(*)::varchar || ' 50 300 ' || string_agg(p::varchar, ' ' order by id) as key from o group by g),
@@ -398,7 +397,7 @@ LINES_1D = "select o_custkey as g, o_orderkey, (o_totalprice / 1000)::int as p f
 + " select key, cid::int as cluster, round(x, 6) as x from c10 join line using (g)")
 def kmeans_1d_lines(spark, d):
     """One problem a line: two centroids and a customer's order values, ten rounds."""
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("int").alias("p"))
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 1000).cast("int").alias("p"))
     grouped = orders.groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", "p"))).alias("o"))
     line = F.concat_ws(" ", F.lit("2"), F.size("o").cast("string"), F.lit("50 300"), F.array_join(F.transform("o", lambda e: e["p"].cast("string")), " "))
     out = kmeans.kmeans_lines(grouped.select(line.alias("line")), "line", 1)
