@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,33 +61,36 @@ def wrapping_sum(value: Column) -> Column:
 def dynamic_aggregates(df: DataFrame, entries: Column, unique_cap: int | None = None, kinds: set[str] | None = None) -> DataFrame:
     """(kind, id, result): ``entries`` is an array of :func:`emit`, so each row names the aggregates it feeds.
 
-    One pass over the input, combined on the map side: by kind and id, and by value for distinct counts and histograms,
-    whose values are counted, then their counts. Only the functions of ``kinds`` (all if not given) are planned; entries
+    One pass over the input, combined on the map side, and a second one if there are extremes of strings: by kind and
+    id, and by value for distinct counts and histograms, whose values are counted, then their counts. Only the functions of ``kinds`` (all if not given) are planned; entries
     of any other kind are left out."""
     every = {LONG_SUM, DOUBLE_SUM, LONG_MAX, LONG_MIN, STRING_MAX, STRING_MIN, UNIQUE_COUNT, HISTOGRAM}
     used = every if kinds is None else kinds & every
     number = lambda kind, t: F.when(F.col("kind") == kind, F.col("value").try_cast(t))
     text = lambda kind: F.when(F.col("kind") == kind, F.col("value"))
-    folds = {
-        LONG_SUM: lambda: wrapping_sum(number(LONG_SUM, "long")), DOUBLE_SUM: lambda: F.sum(number(DOUBLE_SUM, "double")), LONG_MAX: lambda: F.max(number(LONG_MAX, "long")),
-        LONG_MIN: lambda: F.min(number(LONG_MIN, "long")), STRING_MAX: lambda: F.max(text(STRING_MAX)), STRING_MIN: lambda: F.min(text(STRING_MIN)),
-    }
-    rows = df.select(F.explode(entries).alias("e")).select("e.*").where(F.col("kind").isin(*sorted(used)))
-    mine = [k for k in folds if k in used]
-    counted = bool(used & {UNIQUE_COUNT, HISTOGRAM})
-    by = ["kind", "id"] + ([F.when(F.col("kind").isin(UNIQUE_COUNT, HISTOGRAM), F.col("value")).alias("item")] if counted else [])
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), *[folds[k]().alias(k) for k in mine])
-    results = [F.col(k).cast("string") for k in mine]
-    if counted:
-        keep = [F.max(k).alias(k) for k in mine]  # these kinds have one row a kind and id already
-        size = F.when(F.col("kind") == HISTOGRAM, F.col("n")).alias("size")
-        out = out.groupBy("kind", "id", size).agg(F.count("*").alias("f"), F.count("item").alias("items"), *keep)
-        freq = F.array_sort(F.collect_list(F.when(F.col("size").isNotNull(), F.struct(F.col("size").alias("n"), "f")))).alias("freq")
-        out = out.groupBy("kind", "id").agg(F.sum("items").alias("items"), freq, *keep)
-        n = F.col("items") if unique_cap is None else F.least(F.col("items"), F.lit(unique_cap + 1))
-        report = F.concat_ws("\t", *[c.cast("string") for c in _report(F.col("freq")).values()])
-        results += [F.when(F.col("kind") == UNIQUE_COUNT, n.cast("string")), F.when(F.col("kind") == HISTOGRAM, report)]
-    return out.select("kind", "id", F.coalesce(*results, F.lit(None).cast("string")).alias("result"))
+    every_row = df.select(F.explode(entries).alias("e")).select("e.*")
+    outs = []
+    if used & {STRING_MAX, STRING_MIN}:  # strings have no place in a hash aggregate's buffer: these rows alone are sorted
+        each = every_row.where(F.col("kind").isin(STRING_MAX, STRING_MIN) & F.col("kind").isin(*sorted(used))).groupBy("kind", "id")
+        outs.append(each.agg(F.max(text(STRING_MAX)).alias("top"), F.min(text(STRING_MIN)).alias("low")).select("kind", "id", F.coalesce("top", "low").alias("result")))
+    folds = {LONG_SUM: lambda: wrapping_sum(number(LONG_SUM, "long")), DOUBLE_SUM: lambda: F.sum(number(DOUBLE_SUM, "double")), LONG_MAX: lambda: F.max(number(LONG_MAX, "long")), LONG_MIN: lambda: F.min(number(LONG_MIN, "long"))}
+    mine, counted = [k for k in folds if k in used], bool(used & {UNIQUE_COUNT, HISTOGRAM})
+    if mine or counted:
+        rows = every_row.where(F.col("kind").isin(*sorted(used - {STRING_MAX, STRING_MIN})))
+        by = ["kind", "id"] + ([F.when(F.col("kind").isin(UNIQUE_COUNT, HISTOGRAM), F.col("value")).alias("item")] if counted else [])
+        out = rows.groupBy(*by).agg(F.count("*").alias("n"), *[folds[k]().alias(k) for k in mine])
+        results = [F.col(k).cast("string") for k in mine]
+        if counted:
+            keep = [F.max(k).alias(k) for k in mine]  # these kinds have one row a kind and id already
+            size = F.when(F.col("kind") == HISTOGRAM, F.col("n")).alias("size")
+            out = out.groupBy("kind", "id", size).agg(F.count("*").alias("f"), F.count("item").alias("items"), *keep)
+            freq = F.array_sort(F.collect_list(F.when(F.col("size").isNotNull(), F.struct(F.col("size").alias("n"), "f")))).alias("freq")
+            out = out.groupBy("kind", "id").agg(F.sum("items").alias("items"), freq, *keep)
+            n = F.col("items") if unique_cap is None else F.least(F.col("items"), F.lit(unique_cap + 1))
+            report = F.concat_ws("\t", *[c.cast("string") for c in _report(F.col("freq")).values()])
+            results += [F.when(F.col("kind") == UNIQUE_COUNT, n.cast("string")), F.when(F.col("kind") == HISTOGRAM, report)]
+        outs.append(out.select("kind", "id", F.coalesce(*results, F.lit(None).cast("string")).alias("result")))
+    return reduce(DataFrame.unionByName, outs) if outs else every_row.where("false").select("kind", "id", F.col("value").alias("result"))
 
 
 def described_aggregates(df: DataFrame, *descriptors: Callable[[DataFrame], Column], unique_cap: int | None = None, kinds: set[str] | None = None) -> DataFrame:
