@@ -19,6 +19,7 @@ def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/kvflow-{name}-{uuid.uuid4().hex}"
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(folder)
+    vars(spark.sparkContext).setdefault("_kvflow_paths", set()).add(path)
     return path
 
 
@@ -33,9 +34,20 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    context = spark.sparkContext
+    for path in paths:
+        folder = context._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        vars(context).get("_kvflow_paths", set()).discard(path)
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete tables made by :func:`written` that no later plan reads."""
     for df in tables:
-        context = df.sparkSession.sparkContext
-        folder = context._jvm.org.apache.hadoop.fs.Path(df._kvflow_path)
-        folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
+        _delete(df.sparkSession, [df._kvflow_path])
+
+
+def release(spark: SparkSession) -> None:
+    """Delete all that is left in the shared folder, once the results that read it are stored: for long sessions."""
+    _delete(spark, sorted(vars(spark.sparkContext).get("_kvflow_paths", ())))

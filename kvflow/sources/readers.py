@@ -86,10 +86,13 @@ def row_range(spark: SparkSession, rows: int, splits: int | None = None) -> Data
     return spark.range(0, rows, 1, splits) if splits else spark.range(rows)
 
 
-def marked_records(texts: DataFrame, text_col: str, begin: str, end: str, max_length: int | None = None) -> DataFrame:
-    """(key, value): the text from each ``begin`` mark to the next ``end`` mark, marks included; the value is empty."""
-    pattern = f"(?s){re.escape(begin)}.*?{re.escape(end)}"
-    out = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(0))).alias("key"), F.lit("").alias("value"))
+def marked_records(texts: DataFrame, text_col: str, begin: str, end: str, max_length: int | None = None, slow_match: bool = False) -> DataFrame:
+    """(key, value): the text from each ``begin`` mark to the next ``end`` mark, marks included; the value is empty. With
+    ``slow_match`` marks within CDATA sections do not count."""
+    inside = r"(?:(?><!\[CDATA\[.*?\]\]>)|(?!<!\[CDATA\[).)*?" if slow_match else ".*?"
+    skipped = r"(?:<!\[CDATA\[.*?\]\]>)|" if slow_match else ""
+    pattern = f"(?s){skipped}({re.escape(begin)}{inside}{re.escape(end)})"
+    out = texts.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(pattern), F.lit(1))).alias("key"), F.lit("").alias("value")).where("key <> ''")
     return out if max_length is None else out.where(F.length("key") <= max_length)
 
 

@@ -175,6 +175,8 @@ def test_files(spark, tmp_path):
     writers.discard(pairs)
     marked = readers.marked_records(lines(spark, "<P><x>one\n</x> no <x>two</x></P>"), "value", "<x>", "</x>")
     assert [r.key for r in marked.collect()] == ["<x>one\n</x>", "<x>two</x>"]
+    tricky = "<![CDATA[<x>no</x>]]><x>a<![CDATA[</x>]]>b</x>"
+    assert [r.key for r in readers.marked_records(lines(spark, tricky), "value", "<x>", "</x>", slow_match=True).collect()] == ["<x>a<![CDATA[</x>]]>b</x>"]
     good, bad = writers.split_bad(lines(spark, "1", "x"), F.col("value").try_cast("int").isNotNull())
     assert good.count() == bad.count() == 1
     typed = readers.typed_records(lines(spark, "1,a", "2,b"), "value", "n int, s string")
@@ -320,6 +322,21 @@ def test_database(spark, tmp_path):
     assert readers.jdbc_query(spark, url, "select count(*) as n from pages", **options).first()[0] == 105
 
 
+def test_store(spark, tmp_path):
+    import os
+
+    from kvflow.plans import store
+
+    kept = [store.written(spark.range(3), f"t{i}") for i in range(2)]
+    folders = [df._kvflow_path.removeprefix("file:").replace("//", "/") for df in kept]
+    assert all(map(os.path.isdir, folders)) and store.shared_dir(spark) in kept[0]._kvflow_path
+    store.drop(kept[0])
+    assert [os.path.isdir(f) for f in folders] == [False, True]
+    store.release(spark)
+    assert not os.path.isdir(folders[1])
+    assert "/tmp/kvflow-" not in store.shared_dir(spark.newSession())
+
+
 def test_output_files(spark, tmp_path):
     spark.range(3).selectExpr("cast(id as string) value").coalesce(1).write.text(f"{tmp_path}/o")
     (tmp_path / "o" / "_logs").mkdir()
