@@ -8,11 +8,13 @@ import random
 import re
 import subprocess
 import sys
+import zlib
 
+import numpy as np
 import pytest
 import xxhash
 
-from kvflow.llm import packing, toxicity
+from kvflow.llm import packing, quality, toxicity
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 REPO = pathlib.Path(__file__).parents[2]
@@ -152,6 +154,51 @@ def test_pipeline_against_brute_force(spark, tables):
     assert sorted(packed, key=repr) == sorted(want, key=repr)
 
 
+def test_quality_against_plain_rounds(spark, tables):
+    """The exchange of pseudo-labels over all unlabelled documents, and the scores, against a loop over plain rows."""
+    folder, rows = tables
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(4)
+    graded = [(d, int(len(WORD.findall(t or "")) > 70)) for d, t, *_ in rows if d % 4 == 0 and d < 200]
+    labels = spark.createDataFrame(graded, "doc_id long, quality int")
+    rounds, handed = 2, 12
+    held = lambda d: zlib.crc32(str(d).encode()) % 3 == 1
+    views = {d: [quality.content_view((t or "").encode().split()), quality.metadata_view((t or "").encode(), len((t or "").encode().split()), lang, source)] for d, t, lang, source in rows}
+    views = {d: [np.minimum(v, 6e4).astype("<f2") for v in both] for d, both in views.items()}
+    known = sorted((d, y) for d, y in graded if not held(d))
+    mixed = np.random.default_rng(5).permutation(len(known))
+    y = np.array([known[i][1] for i in mixed], float)
+    x = [np.array([views[known[i][0]][k] for i in mixed], float) for k in (0, 1)]
+    aside = np.arange(len(y)) % 5 == 0
+    train = [[v[~aside], y[~aside]] for v in x]
+    named, used = {d for d, _ in graded}, set()
+    for _ in range(rounds):
+        fitted, gone = [quality.View().fit(*t) for t in train], set()
+        picked = []
+        for k in (0, 1):
+            w, b = fitted[k].plain()
+            for label in (0, 1):
+                best = {}
+                for d in sorted(d for d in views if d not in named and d not in used and not held(d)):
+                    margin = float(views[d][k].astype(float) @ w + b) * (1 if label else -1)
+                    if margin >= quality.SURE:
+                        best.setdefault((views[d][0].tobytes(), views[d][1].tobytes()), (-margin, d))
+                for _, d in sorted(best.values())[: handed // 2]:
+                    picked.append((k, label, d))
+                    gone.add(d)
+        used |= gone
+        for k in (0, 1):
+            mine = sorted((label, d) for j, label, d in picked if j == k)
+            if mine:
+                train[1 - k][0] = np.r_[train[1 - k][0], [views[d][1 - k].astype(float) for _, d in mine]]
+                train[1 - k][1] = np.r_[train[1 - k][1], [float(label) for label, _ in mine]]
+    last = [quality.View().fit(*t).calibrate(v[aside], y[aside]).plain() for t, v in zip(train, x)]
+    got = {r.doc_id: r.score for r in quality.score_quality(docs, labels, rounds=rounds, handed=handed).collect()}
+    assert used and set(got) == set(views)
+    for d, both in views.items():
+        z = sum(np.clip(v.astype(float) @ w + b, -12, 12) for v, (w, b) in zip(both, last))
+        assert abs(got[d] - 1 / (1 + np.exp(-z / 2))) < 1e-6
+
+
 def test_pieces():
     for n in (1, 2, 3, 2047, 2048, 2049, 5000):
         cut = list(packing.pieces(n, 2048))
