@@ -224,7 +224,7 @@ def _told_apart(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]
     bits = min(MOST_BITS, 1 << max(10, (10 * n).bit_length()))
     if 4 * n > bits:
         return rows, rows.where("false")
-    words = bloom_filter(keys.select(key.alias("k")), "k", bits).scalar()
+    words = written(bloom_filter(keys.select(key.alias("k")), "k", bits), "bitmap").scalar()  # one row
     flagged = rows.withColumn("maybe", might_contain(words, key, bits))
     return flagged.where("maybe").drop("maybe"), flagged.where("not maybe").drop("maybe")
 
