@@ -406,6 +406,25 @@ def test_nearest_rare_lengths_and_small_cells(spark):
     assert len(few) == 120 and all(r["count"] == 5 for r in few)
 
 
+def test_nearest_of_other_queries(spark):
+    """Queries of another table, with ids of their own and of the table, and a third of all rows copies of one vector."""
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(900, 8))
+    x[300:600] = x[300]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(5)
+    q = [(10_000, x[300]), (10_001, rng.normal(size=8)), (450, x[300]), (10_002, np.zeros(8)), (7, -x[7])]
+    asked = spark.createDataFrame([(i, v.tolist()) for i, v in q] + [(10_003, None), (None, x[0].tolist())], "vec_id long, embedding array<double>")
+    for options in ({}, {"chunk": 64, "least_chunk": 64, "block": 2}):
+        got = {}
+        for r in ann.nearest_neighbours(df, asked, **options).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+        assert set(got) == {10_000, 10_001, 450, 7}
+        for i, v in q:
+            if i in got:
+                best = sorted((-round(float(v @ y / np.sqrt((v @ v) * (y @ y))), 9), k) for k, y in enumerate(x) if k != i)[:5]
+                assert [k for _, k, _ in sorted(got[i])] == [k for _, k in best], i
+
+
 def test_recall():
     """Recall at five on the larger random table, against brute force."""
     rng = np.random.default_rng(1)
