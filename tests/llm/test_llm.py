@@ -193,8 +193,11 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).count() == secrets.redact_secrets(empty).count() == 0
 
 
-def test_secrets_against_brute_force(spark):
-    """Base spans, the spans the method adds, and ownership, on texts in which it adds many."""
+@pytest.mark.parametrize("run, piece", [(256, 1024), (2, 3)])
+def test_secrets_against_brute_force(spark, monkeypatch, run, piece):
+    """Base spans, the spans the method adds, ownership and masks, on texts in which it adds many."""
+    monkeypatch.setattr(secrets, "RUN", run)
+    monkeypatch.setattr(secrets, "PIECE", piece)
     rng = random.Random(11)
     keys = ["".join(rng.choice("abcXYZ012+/_-") for _ in range(rng.randrange(18, 40))) for _ in range(25)] + ["AKIA" + "A1B2" * 5, "deadbeef" * 3, "onlylowercaseletters", "ÄÖ" * 12]
     rows = []
@@ -217,11 +220,29 @@ def test_secrets_against_brute_force(spark):
         shown = [s for s in found if s[1] < 3 or not example[s[3]]]
         text = ",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b, _ in shown)
         want.append((d, text, sum(not example[s[3]] for s in shown), sum(example[s[3]] for s in found if s[1] < 3)))
-    got = [(r.doc_id, r.spans, r.n_live, r.n_example) for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [(r.doc_id, r.spans, r.n_live, r.n_example) for r in secrets.scan_secrets(docs).collect()]
     assert sorted(got, key=repr) == sorted(want, key=repr)
+    masked = []
+    for (d, t, _), found in zip(rows, spans):
+        out, at = "", 0
+        for a, k, b, v in found:
+            if not example[v]:
+                out, at = (out if a < at else out + t[at:a] + "[SECRET]"), max(at, b)
+        masked.append((d, t and out + t[at:]))
+    assert sorted(((r.doc_id, r.text) for r in secrets.redact_secrets(docs).collect()), key=repr) == sorted(masked, key=repr)
     assert sum("live" in w[1] for w in want) > 20 and any(w[3] for w in want) and any(not example[v] for v in example)
 
 
+def test_secrets_of_a_text_of_very_many(spark):
+    """Time in proportion to the spans: their square would take hours here."""
+    n = 30_000
+    text = " ".join(f"{i:016x} aB3{i:08d}XyzXyzXyzXyz é" for i in range(n))
+    docs = spark.createDataFrame([(1, text, "s1")], "doc_id long, text string, source string")
+    got = secrets.scan_secrets(docs).first()
+    assert (got.n_hex, got.n_live) == (n, 2 * n) and secrets.redact_secrets(docs).first().text == " ".join(["[SECRET] [SECRET] é"] * n)
+
+
 def test_secrets_of_few_owners(spark):
     """One owner's value stays live however often it is repeated, copies of a text count once, and a key may be long."""
     long = "aB" * 150 + "1"
