@@ -32,8 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvflow.operators.filters import bloom_filter, might_contain
-
+from ._bitmap import told_apart
 from ._store import drop, written
 from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, span_hashes, tidy, word_hashes
 
@@ -212,23 +211,6 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
-#: Bits of the largest bitmap that is sent to tasks (8 MB).
-MOST_BITS = 1 << 26
-
-
-def _told_apart(rows: DataFrame, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """rows (doc, th, ...) that may be among ``keys`` (doc, th; written), and those that surely are not: told by a bitmap
-    in a projection, so the texts of the latter are never shuffled. A bitmap too small to tell anything lets all through."""
-    key = F.xxhash64("doc", "th")
-    n = keys.count()
-    bits = min(MOST_BITS, 1 << max(10, (10 * n).bit_length()))
-    if 4 * n > bits:
-        return rows, rows.where("false")
-    words = written(bloom_filter(keys.select(key.alias("k")), "k", bits), "bitmap").scalar()  # one row
-    flagged = rows.withColumn("maybe", might_contain(words, key, bits))
-    return flagged.where("maybe").drop("maybe"), flagged.where("not maybe").drop("maybe")
-
-
 def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram: int = 16, crowded: int = 512, shard_words: int = 60_000, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for)."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("bytes"))
@@ -245,7 +227,8 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     groups = written(distinct.groupBy("a").agg(F.count("*").alias("k")).select("a", F.expr(f"k > {int(crowded)}").alias("hot")), "groups")
     reps = distinct.join(groups, "a").select(F.col("rep.doc").alias("doc"), F.col("rep.th").alias("th"), F.struct("a", "c", "m", "top", "hot", "rep.s0", "rep.n", "rep.off").alias("r"))
     lists = reps.groupBy("doc", "th").agg(F.collect_list("r").alias("reps"))
-    holders, _ = _told_apart(rows, distinct.select("rep.doc", "rep.th"))
+    place = [F.col("doc"), F.col("th")]
+    holders, _ = told_apart(rows, place, distinct.select("rep.doc", "rep.th"), ["doc", "th"])
     cut = written(holders.join(lists, ["doc", "th"]).select("bytes", "reps").mapInArrow(_cut(window), CUT), "passages")
 
     whole = cut.where("s = a").repartition("s").sortWithinPartitions("s", "m", "a", "c").mapInArrow(_matched(engine, window, shard_words), "a long, c long, b int, e int, least long")
@@ -255,7 +238,7 @@ def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram:
     spans = occ.join(found, ["a", "c"]).where("least < doc").select("doc", "th", F.struct((F.col("s0") + F.col("b")).alias("b"), (F.col("s0") + F.col("e") + (window - 1)).alias("e")).alias("span"))
     spans = written(spans.groupBy("doc", "th").agg(F.collect_set("span").alias("spans")), "spans")
     drop(occ, found)
-    touched, whole = _told_apart(rows, spans)
+    touched, whole = told_apart(rows, place, spans, ["doc", "th"])
     joined = touched.join(spans, ["doc", "th"], "left").select("doc", "bytes", "spans")
     joined = joined.unionByName(whole.select("doc", "bytes", F.lit(None).cast(spans.schema["spans"].dataType).alias("spans")))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"

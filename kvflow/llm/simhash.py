@@ -25,6 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._bitmap import told_apart
 from ._graph import connected_components
 from ._names import own, unused
 from ._store import drop, written
@@ -185,13 +186,19 @@ def simhash_components(docs: DataFrame, *, block: int = 1024, id_col: str = "doc
 def simhash_dedup(docs: DataFrame, *, block: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near copies, one row of each component: that of the smallest id and, among rows of this id
     in the component, of the least row hash. Rows of one id in different components are different documents, so a text
-    without a near copy stays whatever its id; of rows that agree in every column one stays; rows with null id all stay."""
+    without a near copy stays whatever its id; of rows that agree in every column one stays; rows with null id all stay.
+    A bitmap of the rows that go, or of which several agree, lets all others through without a shuffle of their texts."""
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     label = _labelled(rows, block)
-    best = rows.where("doc_id is not null").join(label, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "rh")).alias("best"))
+    named = rows.where("doc_id is not null")
+    best = named.join(label, "fp").groupBy("root").agg(F.min(F.struct("doc_id", "rh")).alias("best"))
     h, d, r = (unused(n, docs) for n in ("row_hash", "best_id", "best_row"))
     best = written(best.select(F.col("best.doc_id").alias(d), F.col("best.rh").alias(r)), "best")
+    alike = named.groupBy("doc_id", "rh").agg(F.count("*").alias("n")).join(best, (F.col("doc_id") == F.col(d)) & (F.col("rh") == F.col(r)), "left")
+    unsure = written(alike.where(F.col(d).isNull() | (F.col("n") > 1)).select("doc_id", "rh"), "unsure")
     drop(rows, label)
-    hashed = docs.withColumn(h, row_hash(docs))
-    named = hashed.join(best, (F.col(id_col).cast("long") == F.col(d)) & (F.col(h) == F.col(r)), "left_semi").dropDuplicates([id_col, h])
-    return named.select(*own(docs)).unionByName(docs.where(F.col(id_col).isNull()))
+    doc_id = F.col(id_col).cast("long")
+    hashed = docs.where(F.col(id_col).isNotNull()).withColumn(h, row_hash(docs))
+    maybe, sure = told_apart(hashed, [doc_id, F.col(h)], unsure, ["doc_id", "rh"])
+    one = maybe.join(best, (doc_id == F.col(d)) & (F.col(h) == F.col(r)), "left_semi").dropDuplicates([id_col, h])
+    return one.select(*own(docs)).unionByName(sure.select(*own(docs))).unionByName(docs.where(F.col(id_col).isNull()))

@@ -298,7 +298,7 @@ def test_dedup_by_row(spark):
 CLASHES = "doc_id long, text string, _kept string, best_id int"
 
 
-NAMES = ["label", "_id", "_p", "_h", "_d", "_t", "_live", "_kept", "row", "row_hash", "text_hash", "live", "live_id", "live_hash", "sample_id", "best_id", "best_row", "th", "rh", "doc", "bytes", "spans", "content", "metadata", "a.b", "_row", "_copy", "found", "held_out", "score", "c0", "h", "size"]
+NAMES = ["label", "_id", "_p", "_h", "_d", "_t", "_live", "_kept", "row", "row_hash", "text_hash", "live", "live_id", "live_hash", "sample_id", "best_id", "best_row", "th", "rh", "doc", "bytes", "spans", "content", "metadata", "a.b", "_row", "_copy", "found", "held_out", "score", "c0", "h", "size", "maybe"]
 
 
 def test_clashing_names(spark, clash_tables):
