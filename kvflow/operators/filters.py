@@ -105,8 +105,15 @@ def slice_of(key: Column, slices: int) -> Column:
     return F.pmod(F.xxhash64(F.lit("slice"), key), F.lit(slices))
 
 
+def slices_for(keys: DataFrame, key_col: str, bits: int = 1 << 16) -> int:
+    """Slices of ``bits`` bits that give each distinct key (counted approximately) ten bits."""
+    n = keys.agg(F.approx_count_distinct(key_col).alias("n")).first()["n"]
+    return max(1, -(-10 * n // bits))
+
+
 def dynamic_filter(keys: DataFrame, key_col: str, slices: int, bits: int = 1 << 16, hashes: int = 4) -> DataFrame:
-    """(slice, bit): a row of filters that keeps its error rate as keys grow; a key belongs to one slice by its hash."""
+    """(slice, bit): a row of filters that keeps its error rate as keys grow, if ``slices`` grows with them (see
+    :func:`slices_for`); a key belongs to one slice by its hash."""
     rows = keys.select(F.col(key_col).alias("k")).where("k is not null")
     return rows.select(slice_of(F.col("k"), slices).alias("slice"), F.explode(bloom_bits(F.col("k"), bits, hashes)).alias("bit")).distinct()
 

@@ -540,7 +540,8 @@ def bloom_counts(spark, d):
 @query("select count(*)::bigint as n_members, 0::bigint as n_lost, true as few_others from customer where exists (select 1 from orders where o_custkey = c_custkey and o_orderstatus = 'P')")
 def dynamic_bloom_membership(spark, d):
     orders, customers = table(spark, d, "orders").where("o_orderstatus = 'P'"), table(spark, d, "customer").select("c_custkey")
-    return _filtered(customers, orders, P.dynamic_semi_join(customers, "c_custkey", P.dynamic_filter(orders, "o_custkey", 8), 8))
+    slices = P.slices_for(orders, "o_custkey")
+    return _filtered(customers, orders, P.dynamic_semi_join(customers, "c_custkey", P.dynamic_filter(orders, "o_custkey", slices), slices))
 
 
 @query("select o_orderkey, o_custkey, o_totalprice from orders where o_orderkey >= 100 and o_orderkey < 400")

@@ -260,6 +260,16 @@ def test_bloom_filters(spark):
     assert {r.k for r in filters.bloom_semi_join(asked, "k", keys, "k", most_bits=64).collect()} == set(range(50))
 
 
+def test_dynamic_filter_grows_with_its_keys(spark, tmp_path):
+    from kvflow.plans.queries import QUERIES
+
+    assert filters.slices_for(spark.range(0), "id") == filters.slices_for(spark.range(6000), "id") == 1
+    # the even customers of 300,000 have orders: a fixed number of slices has less than four bits for each
+    spark.range(300_000).select(F.col("id").alias("c_custkey")).write.parquet(f"{tmp_path}/customer.parquet")
+    spark.range(150_000).select((2 * F.col("id")).alias("o_custkey"), F.lit("P").alias("o_orderstatus")).write.parquet(f"{tmp_path}/orders.parquet")
+    assert tuple(QUERIES["dynamic_bloom_membership"](spark, str(tmp_path)).first()) == (150_000, 0, True)
+
+
 def test_sums_wrap(spark):
     rows = spark.createDataFrame([((1 << 63) - 1,), (1,), (5,), (None,)], "v long")
     got = G.dynamic_aggregates(rows, F.array(G.emit(G.LONG_SUM, "s", F.col("v"))), kinds={G.LONG_SUM}).collect()
