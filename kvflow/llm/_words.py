@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import SparkSession
 
 #: Odd multiplier of the polynomial word-sequence hash (arithmetic modulo 2**64).
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -20,6 +21,15 @@ P = np.uint64(0x9E3779B97F4A7C15)
 P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 #: Bytes of text that a kernel turns into word lists at a time.
 CHUNK_BYTES = 1 << 20
+#: Bytes of rows that Spark hands to a Python worker at a time, and the setting that bounds them.
+BATCH_BYTES, BATCH_SETTING = 4 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bound the session's Arrow batches by bytes, unless the session has a bound already. Spark's own 64 MB stand in
+    the executor and in the worker at once, beside what is copied from them, for every core."""
+    if BATCH_SETTING not in spark.conf.getAll:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
 
 
 def tidy() -> None:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._words import chunks
+from ._words import chunks, small_batches
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: Words of one generation of a worker's cache (two are kept), and the longest word (bytes) that is kept.
@@ -191,6 +191,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, *, longest: int = 2048,
         text = f.read()
     if not word_safe(text):
         raise ValueError("this tokeniser joins or keeps white space; it cannot be run word by word")
+    small_batches(docs.sparkSession)
     shipped = docs.sparkSession.sparkContext.broadcast(text)  # a vocabulary file: a few MB, whatever the corpus
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("bytes"))
     out = rows.mapInArrow(_packer(shipped, longest, end_id, with_ids), PIECES + (", ids array<int>" if with_ids else ""))

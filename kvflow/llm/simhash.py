@@ -29,7 +29,7 @@ from ._bitmap import told_apart
 from ._graph import connected_components
 from ._names import own, unused
 from ._store import drop, written
-from ._words import chunks
+from ._words import chunks, small_batches
 
 THRESHOLD = 3
 
@@ -67,6 +67,7 @@ def row_hash(docs: DataFrame) -> Column:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, rh (hash of the row), fp (the fingerprint as a signed long)."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), row_hash(docs).alias("rh"), F.col(text_col).cast("binary").alias("bytes")).mapInArrow(_fingerprints, "doc_id long, rh long, fp long")
 
 

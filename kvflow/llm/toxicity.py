@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._store import drop, written
-from ._words import chunks, tidy
+from ._words import chunks, small_batches, tidy
 
 #: Cyrillic and Greek letters that look Latin, and digit or symbol substitutions.
 HOMOGLYPHS = dict(zip("авеікмнорстухѕјԁɡαεικνορτυχ", "abeikmhopctyxsjdgaeiknoptux"))
@@ -206,6 +206,7 @@ def scorer(model: tuple[dict[str, float], set[str], list[float] | None]):
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, toxic_rows: int = 1500, clean_rows: int = 3000, support: int = 3, most_terms: int = 2000, odds: float = 2.5, least_share: float = 0.008, clean_share: float = 0.01, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:
+    small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label_col, (clean_rows, toxic_rows), [F.col(text_col).alias("text")], id_col)
     sample = written(rows, "sample")
     rows = sample.repartition(docs.sparkSession.sparkContext.defaultParallelism)

@@ -131,6 +131,30 @@ def test_mixing(docs, rows, empty):
     assert mixing.mixed_documents(empty).count() == 0
 
 
+def test_batches_are_bounded_by_bytes(spark):
+    """40 MB of texts in one task: no worker gets more than a few at a time, unless the session sets a bound of its own."""
+    import public_tokenizers
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
+
+    def largest(batches):
+        yield pa.RecordBatch.from_arrays([pa.array([max(b.nbytes for b in batches)], pa.int64())], names=["n"])
+
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(setting)
+    try:
+        for made in (lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), lambda: simhash.fingerprints(docs), lambda: toxicity.reject_toxic(docs.limit(5), labels)):
+            spark.conf.unset(setting)
+            made()
+            assert docs.mapInArrow(largest, "n long").first().n < 6 << 20
+        spark.conf.set(setting, "100m")
+        packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+        assert spark.conf.get(setting) == "100m"
+    finally:
+        spark.conf.set(setting, before) if before else spark.conf.unset(setting)
+
+
 def test_packing(docs, rows, empty):
     import public_tokenizers
     from tokenizers import Tokenizer
