@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ._bitmap import told_apart
 from ._store import drop, written
-from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, span_hashes, tidy, word_hashes
+from ._words import P_INV, chunks, leftmost_minimum, mix, powers, prefix, small_batches, span_hashes, tidy, word_hashes
 
 OCC = "a long, c long, doc long, th long, s0 int, n int, off int"
 
@@ -213,6 +213,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def remove_repeats(docs: DataFrame, engine: Callable, *, window: int = 50, gram: int = 16, crowded: int = 512, shard_words: int = 60_000, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 (and kept_text if asked for)."""
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.xxhash64(text_col).alias("th"), F.col(text_col).cast("binary").alias("bytes"))
     scanned = rows.where("doc is not null and octet_length(bytes) >= %d" % (2 * window - 1))
     every = written(scanned.mapInArrow(_scan(window, gram), OCC), "anchors")

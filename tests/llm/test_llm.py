@@ -135,7 +135,7 @@ def test_batches_are_bounded_by_bytes(spark):
     """40 MB of texts in one task: no worker gets more than a few at a time, unless the session sets a bound of its own."""
     import public_tokenizers
 
-    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"))
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 2000).alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"))
     labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0)], "doc_id long, quality int, toxic int")
 
     def largest(batches):
@@ -144,7 +144,7 @@ def test_batches_are_bounded_by_bytes(spark):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.getAll.get(setting)
     try:
-        for made in (lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), lambda: simhash.fingerprints(docs), lambda: toxicity.reject_toxic(docs.limit(5), labels)):
+        for made in (lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), lambda: simhash.fingerprints(docs), lambda: toxicity.reject_toxic(docs.limit(5), labels), lambda: suffix_array.suffix_array_dedup(docs.limit(2))):
             spark.conf.unset(setting)
             made()
             assert docs.mapInArrow(largest, "n long").first().n < 6 << 20
