@@ -144,7 +144,7 @@ def test_batches_are_bounded_by_bytes(spark):
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.getAll.get(setting)
     try:
-        for made in (lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), lambda: simhash.fingerprints(docs), lambda: toxicity.reject_toxic(docs.limit(5), labels), lambda: suffix_array.suffix_array_dedup(docs.limit(2))):
+        for made in (lambda: packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json")), lambda: simhash.fingerprints(docs), lambda: toxicity.reject_toxic(docs.limit(5), labels), lambda: suffix_array.suffix_array_dedup(docs.limit(2)), lambda: quality.views_of(docs)):
             spark.conf.unset(setting)
             made()
             assert docs.mapInArrow(largest, "n long").first().n < 6 << 20
